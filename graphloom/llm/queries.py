@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_quality": quality.op2_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality": quality.OP2_SQL,
+}
