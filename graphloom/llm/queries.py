@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_quality": quality.op2_quality,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
