@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, simhash
+from . import quality, secrets, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_quality": quality.op2_quality,
+    "op6_urls": urls.op6_urls,
     "op10_secrets": secrets.op10_secrets,
 }
 
