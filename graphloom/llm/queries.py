@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality, secrets, simhash, urls
+from . import chat, quality, secrets, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_quality": quality.op2_quality,
     "op6_urls": urls.op6_urls,
+    "op9_chat": chat.op9_chat,
     "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality": quality.OP2_SQL,
+    "op9_chat": chat.OP9_SQL,
 }
