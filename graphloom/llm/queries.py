@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, quality, secrets, simhash, urls
+from . import chat, mixing, quality, secrets, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_quality": quality.op2_quality,
+    "op3_mixing": mixing.op3_mixing,
     "op6_urls": urls.op6_urls,
     "op9_chat": chat.op9_chat,
     "op10_secrets": secrets.op10_secrets,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_quality": quality.OP2_SQL,
+    "op3_mixing": mixing.OP3_SQL,
     "op9_chat": chat.OP9_SQL,
 }
