@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, secrets, simhash, urls
+from . import chat, mixing, pieces, quality, secrets, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_quality": quality.op2_quality,
     "op3_mixing": mixing.op3_mixing,
     "op6_urls": urls.op6_urls,
+    "op7_pieces": pieces.op7_pieces,
     "op9_chat": chat.op9_chat,
     "op10_secrets": secrets.op10_secrets,
 }
