@@ -45,7 +45,7 @@ def column_values(column: pa.ChunkedArray | pa.Array, step: int = 512) -> Iterat
 
 
 def map_rows(
-    df: DataFrame, schema: str, outputs: list[tuple[str, pa.DataType]], rows: Callable[[], Callable], keep: list[str]
+    df: DataFrame, schema, outputs: list[tuple[str, pa.DataType]], rows: Callable[[], Callable], keep: list[str]
 ) -> DataFrame:
     """Append computed columns to the columns in keep.
 

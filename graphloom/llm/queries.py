@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, pieces, quality, secrets, simhash, urls
+from . import chat, langid, mixing, pieces, quality, secrets, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op6_urls": urls.op6_urls,
     "op7_pieces": pieces.op7_pieces,
+    "op8_langid": langid.op8_langid,
     "op9_chat": chat.op9_chat,
     "op10_secrets": secrets.op10_secrets,
 }

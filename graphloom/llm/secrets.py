@@ -10,6 +10,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_type, map_rows
 
@@ -177,7 +178,7 @@ def redact_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def rows():
         return lambda text: (redact(text, scan(text)),)
 
-    done = map_rows(kept, f"others {kept.schema['others'].dataType.simpleString()}, text string", [("text", pa.string())], rows, ["others"])
+    done = map_rows(kept, T.StructType([kept.schema["others"]]).add("text", "string"), [("text", pa.string())], rows, ["others"])
     out = done.select(*[(F.col("text") if c == text_col else F.col(f"others.`{c}`")).alias(c) for c in docs.columns])
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNull(), None).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
