@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +26,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables written to the shared checkpoint folder, under a name of their own, and read again.
+
+    They are compressed, unlike checkpoints, and survive lost executors.  The
+    shuffle files that a table was made from go as soon as it is written.
+    drop() removes tables that no later plan reads; those that a lazy result
+    reads stay with the session's other checkpoints.
+    """
+
+    _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession):
+        set_checkpoint_dir(spark)
+        self.spark = spark
+        self.path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        before = self.spark.conf.get(self._CLEANUP, None)
+        self.spark.conf.set(self._CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        finally:
+            if before is None:
+                self.spark.conf.unset(self._CLEANUP)
+            else:
+                self.spark.conf.set(self._CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

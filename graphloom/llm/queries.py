@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, digests, langid, mixing, pieces, quality, secrets, simhash, urls
+from . import chat, digests, langid, mixing, pieces, quality, secrets, simhash, substrings, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_quality": quality.op2_quality,
     "op3_mixing": mixing.op3_mixing,
     "op4_fingerprints": digests.op4_fingerprints,
+    "op5_substrings": substrings.op5_substrings,
     "op6_urls": urls.op6_urls,
     "op7_pieces": pieces.op7_pieces,
     "op8_langid": langid.op8_langid,
