@@ -203,9 +203,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = cut(parts.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times")))
     own = F.col(id_col) == F.col("doc_id_kept")
     heads = heads.withColumnRenamed("doc_id", "doc_id_kept")
-    once = docs.join(heads.where("times = 1"), own, "left_semi")
-    more = docs.join(heads.where("times > 1"), own, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = docs.join(heads.where("times = 1"), own, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    repeats = heads.where("times > 1")
+    if repeats.isEmpty():  # as ids are unique, mostly
+        return kept
+    return kept.unionByName(docs.join(repeats, own, "left_semi").dropDuplicates([id_col]))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
