@@ -61,7 +61,7 @@ def planted(seed=4, n=60):
     return texts
 
 
-@pytest.mark.parametrize("hot", [1000, 1])
+@pytest.mark.parametrize("hot", [1000, 100, 1])
 def test_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT", hot)
     texts = planted()
