@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import vector_queries
+
 FLAGSHIP = "iterative_late_interaction"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**vector_queries.QUERIES}
+ORACLES = {**vector_queries.ORACLES}
