@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import vector_queries
+from . import eval_queries, vector_queries
 
 FLAGSHIP = "iterative_late_interaction"
-QUERIES = {**vector_queries.QUERIES}
-ORACLES = {**vector_queries.ORACLES}
+QUERIES = {**vector_queries.QUERIES, **eval_queries.QUERIES}
+ORACLES = {**vector_queries.ORACLES, **eval_queries.ORACLES}
