@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import eval_queries, vector_queries
+from . import corpus_queries, eval_queries, vector_queries
 
 FLAGSHIP = "iterative_late_interaction"
-QUERIES = {**vector_queries.QUERIES, **eval_queries.QUERIES}
-ORACLES = {**vector_queries.ORACLES, **eval_queries.ORACLES}
+_PARTS = (vector_queries, corpus_queries, eval_queries)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

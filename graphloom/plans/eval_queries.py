@@ -139,8 +139,8 @@ def predicted_numbers(spark, sf_dir):
 
 
 _NEAR = f"""{_G}, near as (select qid, node, row_number() over (partition by qid order by list_inner_product(q.vec, emb.vec) desc, node) as r from q, emb qualify r <= {MORE}),
-comp as (select qid, 'd' || (node // 20) as doc, 'p_' || (node // 5) as cid, row_number() over (partition by qid order by min(r))::int as rank from near group by all),
-page as (select qid, doc, row_number() over (partition by qid order by min(rank))::int as rank from comp group by all),
+comp as (select qid, 'd' || (node // 20) as doc, 'p_' || (node // 5) as cid, row_number() over (partition by qid order by min(r))::int as rank from near group by qid, node // 20, node // 5),
+page as (select qid, doc, row_number() over (partition by qid order by min(rank))::int as rank from comp group by qid, doc),
 gold as (select distinct q.qid, e.top as node from (select node as qid, label from emb where node % 25 = 0) q join emb e on e.label = q.label)"""
 QUERIES = {f.__name__: f for f in (parse_results_top50, parse_results_pages, parse_results_baseline, mrr_at_10, recall_at_3, component_recall_mrr, page_recall_tolerance, run_sweep, modality_parse, subquery_parse, answer_postprocess, answer_numeric_tolerance, answer_em_f1, metrics_grouping_sets, predicted_numbers)}
 _PRICE = "floor(p_retailprice)::bigint"
@@ -154,7 +154,7 @@ from near n left join q m on m.qid + 25 = n.qid where r % 2 = 1""",
     "recall_at_3": f"{_NEAR}, g as (select distinct qid, 'd' || (node // 4) as doc from gold), h as (select g.qid, count(p.doc) / count(*) as r from g left join page p on p.qid = g.qid and p.doc = g.doc and p.rank <= 3 where g.qid % 75 <> 0 group by g.qid) select avg(r) as recall, count(*) as questions from h",
     "component_recall_mrr": f"{_NEAR}, g as (select qid, 'p_' || node as cid from gold), h as (select g.qid, count(c.cid) / count(*) as r, coalesce(1 / ceil(min(c.rank) / 3), 0.0) as rr from g left join comp c on c.qid = g.qid and c.cid = g.cid and c.rank <= 9 and c.qid % 75 <> 0 group by g.qid) select avg(r) as recall, avg(rr) as mrr, count(*) as questions from h",
     "page_recall_tolerance": f"{_G}, gold as (select distinct q.qid, e.top as node from (select node as qid, label from emb where node % 25 = 0) q join emb e on e.label = q.label), near as (select qid, node, row_number() over (partition by qid order by list_inner_product(q.vec, tops.vec) desc, node) as r from q, tops qualify r <= {K}), h as (select g.qid, coalesce(count(n.node) / nullif(count(case when g.node % 3 <> 0 then 1 end), 0), 0.0) as rec, coalesce(1 / min(n.r), 0.0) as rr from gold g left join near n on n.qid = g.qid and n.node = g.node and g.node % 3 <> 0 group by g.qid) select avg(rec) as recall, avg(rr) as mrr, count(*) as questions from h",
-    "run_sweep": "select event_type as dataset, (user_id % 3)::int as iterations, (user_id % 5 + 1)::int as beam, avg((user_id % 7)::double) as score, avg(floor(value)::double) + case event_type when 'click' then 100.0 when 'view' then 50.0 else 0.0 end::double as ms from events group by all",
+    "run_sweep": "select event_type as dataset, (user_id % 3)::int as iterations, (user_id % 5 + 1)::int as beam, avg((user_id % 7)::double) as score, avg(floor(value)::double) + case event_type when 'click' then 100.0 when 'view' then 50.0 else 0.0 end::double as ms from events group by event_type, user_id % 3, user_id % 5 + 1",
     "modality_parse": f"select doc_id, case when doc_id % 7 = 0 then 'text' when doc_id % 4 = 0 then 'table' when doc_id % 4 = 1 then 'image' when doc_id % 4 = 2 then 'text' when lower(trim(t)) like 'table%' then 'table' when lower(trim(t)) like 'image%' then 'image' else 'text' end as modality from ({_T})",
     "subquery_parse": f"with d as ({_T}) select doc_id || '___0' as sqid, case when doc_id % 3 = 2 then '[' || t else t end as subquery from d union all select doc_id || '___1', lang from d where doc_id % 3 <> 2",
     "answer_postprocess": f"select doc_id, case doc_id % 3 when 0 then t || '|' || lang when 1 then lang else t end as answers from ({_T})",
