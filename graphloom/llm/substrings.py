@@ -15,7 +15,7 @@ from .words import Hasher, covered
 WINDOW = 35  # words of a window
 GRAM = 8  # words of an anchor
 #: Occurrences of an anchor from which its windows are counted one by one instead of in an automaton.
-HOT = 100
+HOT = 1000
 #: Bits of each of the two filters of shared anchors that are broadcast: 16 MB, whatever the data.
 FILTER_BITS = 1 << 27
 
