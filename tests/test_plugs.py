@@ -95,23 +95,22 @@ def test_sinks(spark, tmp_path):
         config.run_config(topk=5)
 
 
-def _model():
-    def ask(prompt):
-        if "Kind:" in prompt:
-            return "table" if "size" in prompt else "text"
-        if "fail" in prompt:
-            raise RuntimeError
-        return '["size of a", "b"]'
-
-    return ask
+def test_questions_to_vectors(spark):
+    def model():  # local, so that workers get it by value
+        def ask(prompt):
+            if "Kind:" in prompt:
+                return "table" if "size" in prompt else "text"
+            if "fail" in prompt:
+                raise RuntimeError
+            return '["size of a", "b"]'
 
+        return ask
 
-def test_questions_to_vectors(spark):
     asked = spark.createDataFrame([("q1", "what"), ("q2", "done"), ("q3", "fail")], "qid string, question string")
-    subs = Q.decompose(asked, _model, done=asked.where("qid = 'q2'").select("qid")).cache()
+    subs = Q.decompose(asked, model, done=asked.where("qid = 'q2'").select("qid")).cache()
     assert sorted((r.sqid, r.subquery) for r in subs.collect()) == [("q1___0", "size of a"), ("q1___1", "b"), ("q3___0", "")]
-    assert Q.decompose(asked, _model, limit=1).select("qid").distinct().count() == 1
-    told = Q.with_vectors(Q.with_modality(subs, _model), M.HashingEncoder).cache()
+    assert Q.decompose(asked, model, limit=1).select("qid").distinct().count() == 1
+    told = Q.with_vectors(Q.with_modality(subs, model), M.HashingEncoder).cache()
     assert sorted((r.sqid, r.modality) for r in told.collect()) == [("q1___0", "table"), ("q1___1", "text"), ("q3___0", "text")]
     r = told.where("sqid = 'q1___0'").first()
     assert r.v_agnostic != r.v_aware and len(r.v_aware) == 64
