@@ -15,6 +15,8 @@ from .common import cut, id_type, map_rows, utf8, width
 from .components import connected_components
 
 TILE = 1024
+#: Fingerprints of a group that one task compares; larger groups are dealt out in pairs of chunks of this size.
+GROUP = 16384
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -143,12 +145,27 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield rest[2], rest[3]
 
 
+def _chunk_pairs(dealt: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of hot groups (mask, value, n), a copy for each pair of chunks that a fingerprint's own chunk is in.
+
+    A chunk holds about GROUP fingerprints, whatever the group's size; the pair's number stands for the mask.
+    """
+    h = hot.select(F.col("mask").alias("hm"), F.col("value").alias("hv"), F.ceil(F.col("n") / GROUP).cast("bigint").alias("chunks"))
+    rows = dealt.join(h, (F.col("mask") == F.col("hm")) & (F.col("value") == F.col("hv")))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")))
+    rows = rows.select("mask", "value", "fp", "node", "own", "chunks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("other"))
+    pair = (F.col("mask") * F.col("chunks") + F.least("own", "other")) * F.col("chunks") + F.greatest("own", "other")
+    return rows.select(pair.alias("mask"), "value", "fp", "node")
+
+
 def near_links(distinct: DataFrame, radius: int) -> DataFrame:
     """(a, b): links of nodes that make up the same components as all pairs within radius bits.
 
     distinct has (fp, node), each fp once.  Every fingerprint goes to the group
     of each of its masked values; a group is compared in tiles and gives one
-    link for each fingerprint at most, to the least node that it reaches.
+    link for each fingerprint at most, to the least node that it reaches.  A
+    group of more than GROUP fingerprints is compared whole too, as all pairs of its chunks, which
+    tasks share.
     """
     spark = distinct.sparkSession
     signed = lambda m: m - (1 << 64) if m >> 63 else m
@@ -166,11 +183,16 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[least[moved]])], names=["a", "b"])
 
-    return (
-        dealt.repartition(width(spark), "mask", "value")
-        .sortWithinPartitions("mask", "value")
-        .mapInArrow(run, "a bigint, b bigint")
-    )
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.repartition(width(spark), "mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a bigint, b bigint")
+
+    hot = cut(dealt.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > GROUP))
+    if hot.isEmpty():
+        return compared(dealt)
+    group = [F.col("mask") == F.col("hm"), F.col("value") == F.col("hv")]
+    cold = dealt.join(hot.select(F.col("mask").alias("hm"), F.col("value").alias("hv")), group, "left_anti")
+    pairs = _chunk_pairs(dealt.withColumn("mask", F.col("mask").cast("bigint")), hot)
+    return compared(cold).unionByName(compared(pairs))
 
 
 def simhash_components(
