@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -179,22 +180,27 @@ def _blocks(texts: list[str], size: int = 1 << 17) -> Iterator[tuple[int, int]]:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, place, shown, doc_id, text), partitioned by bucket and sorted: the next row of a bucket is the next document.
+    """(bucket, place, shown, doc_id, text), a partition for each bucket, sorted: the next row of a bucket is the next document.
 
-    Ids are cut into ranges, buckets, in descending order; the first row of
-    each bucket stands once more, not shown, at the end of the bucket before
-    (of the last one, for the first).  So all texts move once and no order over
-    the whole table is made in one task.  Rows of equal id are ordered by text;
-    null ids come last.
+    Ids are cut into ranges of about equally many rows, buckets, in descending
+    order; the first row of each bucket stands once more, not shown, at the end
+    of the bucket before (of the last one, for the first).  So all texts move
+    once and no order over the whole table is made in one task.  Rows of equal
+    id are ordered by text; null ids come last.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    n = 2 * width(spark)
-    marks = rows.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n).alias("m")).first().m or []
-    marks = F.array(*[F.lit(m) for m in sorted(set(marks))]).cast("array<bigint>")
-    # The last bucket but one holds the smallest ids, the last one rows without id.
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(F.size(F.filter(marks, lambda m: F.col("doc_id") < m)))
-    rows = rows.withColumn("bucket", bucket.cast("int")).withColumn("t", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    n = max(1, width(spark) - 1)  # and one more, for rows without id
+    marks = rows.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("m")).first().m or []
+    held = spark.sparkContext.broadcast(np.unique(np.array(marks[: n - 1], np.int64)))  # a whole number for each partition
+
+    @F.pandas_udf("int")
+    def bucket_of(ids: pd.Series) -> pd.Series:
+        marks = held.value
+        return pd.Series((len(marks) - np.searchsorted(marks, ids.to_numpy(np.int64), side="right")).astype(np.int32))
+
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(bucket_of(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))))
+    rows = rows.withColumn("bucket", bucket).withColumn("t", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     heads = {r.bucket: r.i for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("i")).collect()}
     tie = rows.where("doc_id is null").agg(F.min("t").alias("t")).first().t if n in heads else None
     order = sorted(heads)
@@ -202,13 +208,13 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         [(b, heads[b], tie if b == n else None, order[k - 1]) for k, b in enumerate(order)], "b int, i bigint, tie bigint, to int"
     )
     own = rows.withColumn("place", F.lit(0)).withColumn("shown", F.lit(True))
-    # The table has a row for each bucket, 2 * width + 1 at most.
+    # The table has a row for each bucket, as many as partitions at most.
     first = (F.col("doc_id") == F.col("i")) | (F.col("doc_id").isNull() & (F.col("t") == F.col("tie")))
     again = rows.join(F.broadcast(table), (F.col("bucket") == F.col("b")) & first)
     again = again.select("doc_id", "text", F.col("to").alias("bucket"), "t", F.lit(1).alias("place"), F.lit(False).alias("shown"))
     return (
         own.unionByName(again)
-        .repartition(width(spark), "bucket")
+        .repartitionById(n + 1, "bucket")
         .sortWithinPartitions("bucket", "place", F.desc_nulls_last("doc_id"), "t")
         .select("bucket", "place", "shown", "doc_id", "text")
     )
