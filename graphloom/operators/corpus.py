@@ -190,3 +190,36 @@ def children_of(parents: DataFrame, low: DataFrame) -> DataFrame:
     c = low.where(~ids.is_top(F.col("cid")))
     both = c.join(p, (F.col("doc") == F.col("pd")) & (ids.highest(F.col("cid")) == F.col("top")))
     return both.where(~F.col("top").startswith("p") | (F.instr("cid", "s") > 0)).select("doc", "top", "cid")
+
+#: The kinds of components that a parsed document holds, with their layer.
+KINDS = {"text": "top", "table": "top", "image": "top", "sentence": "low", "proposition": "low", "table_segment": "low", "subimage": "low"}
+
+
+def document_components(docs: DataFrame, doc_col: str = "file") -> DataFrame:
+    """(doc, cid, kind, level, text): all components of parsed documents, whose columns of KINDS are maps from id to a struct.
+
+    A kind without a column is an error, as a document must say that it has
+    none.  text is that of the struct, its caption's text, or null for a table.
+    """
+    missing = sorted(set(KINDS) - set(docs.columns))
+    if missing:
+        raise KeyError(f"documents have no {', '.join(missing)}")
+    out = None
+    for kind, level in KINDS.items():
+        fields = docs.schema[kind].dataType.valueType.fieldNames()
+        text = F.col("value.text") if "text" in fields else F.col("value.caption.text") if "caption" in fields else F.lit(None)
+        part = docs.select(F.col(doc_col).alias("doc"), F.explode(kind).alias("cid", "value"))
+        part = part.select("doc", "cid", F.lit(kind).alias("kind"), F.lit(level).alias("level"), text.cast("string").alias("text"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def with_cell_images(tables: DataFrame, thumbs: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """tables with their cells' and references' image addresses replaced by file names; null where there is no such file.  keys name a table."""
+    asked = tables.select(*keys, F.explode(F.array_distinct(F.concat(F.transform(F.flatten("cells"), lambda c: c["image"]), F.transform(F.map_values("refs"), lambda c: c["image"])))).alias("_url"))
+    found = resolve_images(asked.where("_url is not null"), thumbs, files, "_url").where("filename is not null")
+    maps = found.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_url", "filename")))).alias("_files"))
+    name = lambda c: c.withField("image", F.try_element_at("_files", c["image"]))
+    both = tables.join(maps, keys, "left").withColumn("_files", F.coalesce("_files", F.create_map().cast("map<string,string>")))
+    both = both.withColumn("cells", F.transform("cells", lambda row: F.transform(row, name)))
+    return both.withColumn("refs", F.transform_values("refs", lambda _, c: name(c))).drop("_files")

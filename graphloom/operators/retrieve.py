@@ -172,9 +172,10 @@ def rank_units(scored: DataFrame, questions: DataFrame, tops: DataFrame, k: int)
 def _round(beam: DataFrame, questions: DataFrame, subqueries: DataFrame, tops: DataFrame, low: DataFrame, links: DataFrame, hop: str, k: int) -> DataFrame:
     if hop not in ("0_hop", "1_hop"):
         raise ValueError(f"hop is {hop!r}; 0_hop or 1_hop are known")
-    units = (subgraph_one_hop if hop == "1_hop" else subgraph_zero_hop)(beam, tops, links)
-    asked = with_subqueries(questions, subqueries)
-    return rank_units(unit_scores(units, node_vectors(units, low, asked)), questions, tops, k)
+    # The beam, the units and their nodes' vectors are each read several times.
+    units = cut((subgraph_one_hop if hop == "1_hop" else subgraph_zero_hop)(cut(beam), tops, links))
+    vectors = cut(node_vectors(units, low, with_subqueries(questions, subqueries)))
+    return rank_units(unit_scores(units, vectors), questions, tops, k)
 
 
 def late_interaction(questions, subqueries, tops, low, links, beam: int = 30, k: int = 100, hop: str = "1_hop") -> DataFrame:

@@ -259,3 +259,11 @@ def build_page_prompts(questions: DataFrame, ranked: DataFrame, pages: DataFrame
     a, b = PAGE.split("{}")
     prompt = F.concat(F.array_join(said, ""), F.lit(a), F.col("question"), F.lit(b))
     return both.select("qid", prompt.alias("prompt"), (F.slice(images, -1, 1) if last_image_only else images).alias("images"))
+
+
+def serialize_all(texts: DataFrame, tables: DataFrame, images: DataFrame, mode: tuple[str, ...] = ("image", "summary")) -> DataFrame:
+    """(doc, cid, target, images): all components for an encoder, texts and sentences, tables and segments, images and sub-images alike."""
+    text = texts.select("doc", "cid", text_line(F.col("title"), F.col("section"), F.col("text")).alias("target"), F.array().cast("array<string>").alias("images"))
+    table = serialize_tables(tables, mode).select("doc", "cid", "target", F.col("target_images").alias("images"))
+    image = serialize_images(images, mode).select("doc", "cid", "target", F.col("target_images").alias("images"))
+    return text.unionByName(table).unionByName(image)

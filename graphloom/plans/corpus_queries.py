@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..operators import corpus as C
-from ..operators import layout, questions, serialize, validate
+from ..operators import evaluate, layout, questions, serialize, validate, vision
 from ..operators import rank_eval as E
 from ..sources import html
 from ..streaming.ingest import ingest, paragraphs
@@ -236,6 +236,51 @@ def benchmark_evidence(spark, sf_dir):
     return found.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+def document_scan(spark, sf_dir):
+    """Documents as parsed ones: paragraphs, sentences and a picture each, all seven kinds scanned."""
+    docs = _read(spark, sf_dir, "documents")
+    lines = F.transform(F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 3), lambda t, i: F.struct(F.concat(F.lit("p_"), i + 1), F.struct(t.alias("text"))))
+    none = F.create_map().cast("map<string,struct<text:string>>")
+    picture = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("i_1"), F.struct(F.struct(F.col("lang").alias("text")).alias("caption")))).otherwise(F.create_map().cast("map<string,struct<caption:struct<text:string>>>"))
+    parsed = docs.select(F.col("doc_id").alias("file"), F.map_from_entries(lines).alias("text"), *[none.alias(k) for k in ("table", "sentence", "proposition", "table_segment", "subimage")], picture.alias("image"))
+    return C.document_components(parsed)
+
+
+def cell_images(spark, sf_dir):
+    """Orders' tables with addresses of pictures in cells, of which some have files; serialised."""
+    t = _tables(spark, sf_dir)
+    web = lambda c: c.withField("image", F.when(c["image"].isNotNull(), F.concat(F.lit("https://x.org/?u=" + C.THUMBS + "/"), c["image"])))
+    t = t.withColumn("cells", F.transform("cells", lambda r: F.transform(r, web))).withColumn("refs", F.transform_values("refs", lambda _, c: web(c)))
+    names = [f"img/p{k}.png" for k in range(0, 7, 2)] + ["img/r.png"]
+    thumbs = spark.createDataFrame([(f"{C.THUMBS}/{n}", n) for n in names], "url string, name string")
+    bound = C.with_cell_images(t, thumbs, thumbs.select("name").where("name <> 'img/p4.png'"), ["doc", "cid"])
+    return serialize.serialize_tables(bound, ("image",)).select("doc", F.array_join("target_images", "|").alias("images"))
+
+
+def serialize_everything(spark, sf_dir):
+    """Rows and characters of all components' lines."""
+    docs = _paragraphs(spark, sf_dir).select(F.col("doc").cast("string").alias("doc"), "cid", F.lit("T").alias("title"), F.array(F.lit("S")).alias("section"), "text")
+    t = _tables(spark, sf_dir).withColumn("doc", F.col("doc").cast("string"))
+    images = _image_rows(spark, sf_dir).withColumn("doc", F.col("doc").cast("string")).withColumn("summary", F.lit(None).cast("string"))
+    made = serialize.serialize_all(docs, t, images, ("image",))
+    return made.groupBy(F.substring("cid", 1, 1).alias("letter")).agg(F.count("*").alias("n"), F.sum(F.length("target")).alias("chars"), F.sum(F.size("images")).cast("bigint").alias("images"))
+
+
+def detected_boxes(spark, sf_dir):
+    """Boxes in made-up answers, some cut off."""
+    p = _read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    one = lambda k: F.concat(F.lit('{"bbox_2d": ['), (F.col("p_size") + k), F.lit(', 2, 30, 4.5], "class": "'), F.lit("ab"[k % 2]), F.lit('"}'))
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("```json\n["), one(0), F.lit(", "), one(1), F.lit("]"))).when(F.col("p_partkey") % 3 == 1, F.concat(one(0), F.lit(', {"bbox_2d": [1, 2'))).otherwise("none")
+    return vision.detections(p.select(F.col("p_partkey").cast("string").alias("image"), raw.alias("raw")))
+
+
+def result_tables(spark, sf_dir):
+    """Customers' balances by segment as if they were figures of algorithms on sets."""
+    c = _read(spark, sf_dir, "customer")
+    figures = c.groupBy(F.col("c_mktsegment").alias("algorithm"), F.concat(F.lit("set"), F.col("c_nationkey") % 3).alias("dataset")).agg(F.max("c_acctbal").alias("value"))
+    return evaluate.result_table(figures.withColumn("metric", F.lit("recall")), ["set0", "set1", "set2", "set3"])
+
+
 def _echo():
     """A stand-in for a language model: the words of the question of over five letters as requests."""
     import json
@@ -302,7 +347,7 @@ QUERIES = {
     for f in (
         sentence_split, text_serialize, edge_to_sentence, edge_to_proposition, text_edge_counts, text_component_stats, sentence_children, table_segments, table_serialize, table_chunks, image_serialize, subimage_ids, prompt_build, page_prompt_build,
         layout_containment, image_fit, reading_plan, pending_antijoin, validate_dataset, html_blocks, html_links, html_titles, page_components, link_dereference, image_resolution, benchmark_evidence, decompose_questions, encode_components,
-        encoding_plan, stream_sentences, baseline_pages,
+        encoding_plan, stream_sentences, baseline_pages, document_scan, cell_images, serialize_everything, detected_boxes, result_tables,
     )
 }
 
@@ -352,5 +397,13 @@ from o join nation on n_nationkey = n where k < 3 and n in (select c_nationkey %
     case when p_partkey % 7 <> 0 and p_partkey % 10 < 6 then 'file' || p_partkey % 10 || '.png' end as filename from part""",
     "benchmark_evidence": "select item_id, count(*) as n, min(doc_id) as first_doc from benchmark b join documents d on contains(d.text, b.text) group by item_id",
     "encoding_plan": "select * from (values ('set1', 'text', 256::int, 32::int), ('set2', 'text', 64, 8), ('set2', 'table', 512, 10)) v(dataset, component, max_length, batch_size)",
+    "document_scan": """with l as (select doc_id, list_slice(string_split(coalesce(text, ''), chr(10)), 1, 3) as l, lang from documents)
+select doc_id as doc, 'p_' || k as cid, 'text' as kind, 'top' as level, t as text from (select doc_id, unnest(range(1, len(l) + 1)) as k, unnest(l) as t from l)
+union all select doc_id, 'i_1', 'image', 'top', lang from l where doc_id % 3 = 0""",
+    "cell_images": f"{_TBL}, num as (select doc, path, min(o) as o from cell where path in ('img/p0.png', 'img/p2.png', 'img/p6.png', 'img/r.png') group by doc, path) select doc, coalesce(string_agg(path, '|' order by o) filter (where path is not null), '') as images from (select distinct doc from line) left join num using (doc) group by doc",
+    "detected_boxes": """select p_partkey::varchar as image, k::int as k, ['a', 'b'][k] as class, (p_size + k - 1)::double as x1, 2::double as y1, 30::double as x2, 4.5::double as y2, k || '_' || ['a', 'b'][k] || '.png' as name
+from part, (values (1), (2)) v(k) where p_partkey % 3 = 0 or p_partkey % 3 = 1 and k = 1""",
+    "result_tables": """with f as (select c_mktsegment as algorithm, c_nationkey % 3 as s, max(c_acctbal) as v from customer group by all)
+select algorithm, max(v) filter (where s = 0) as set0, max(v) filter (where s = 1) as set1, max(v) filter (where s = 2) as set2, null::double as set3, avg(v order by s) as mean from f group by algorithm""",
     "baseline_pages": "select l_orderkey as qid, 'doc_x' as doc, 'doc_x_' || l_partkey as page, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey || '.jpeg')::int as rank from lineitem where l_linenumber <= 3",
 }

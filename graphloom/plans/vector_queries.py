@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..checkpoints import cut
 from ..operators import graph as G
 from ..operators import retrieve as R
 from ..sources import vectors
@@ -34,14 +35,18 @@ def seed_beam(spark, sf_dir):
     return R.seed_beam(g.questions, g.low, BEAM)
 
 
+def _beam(g):
+    return cut(R.seed_beam(g.questions, g.low, BEAM))
+
+
 def subgraph_1hop(spark, sf_dir):
     g = vectors.load(spark, sf_dir)
-    return R.subgraph_one_hop(R.seed_beam(g.questions, g.low, BEAM), g.tops, g.links)
+    return R.subgraph_one_hop(_beam(g), g.tops, g.links)
 
 
 def subgraph_0hop(spark, sf_dir):
     g = vectors.load(spark, sf_dir)
-    return R.subgraph_zero_hop(R.seed_beam(g.questions, g.low, BEAM), g.tops, g.links)
+    return R.subgraph_zero_hop(_beam(g), g.tops, g.links)
 
 
 def isolated_nodes(spark, sf_dir):
@@ -55,7 +60,7 @@ def subgraph_nodes(spark, sf_dir):
 
 
 def _vectors(g):
-    units = R.subgraph_one_hop(R.seed_beam(g.questions, g.low, BEAM), g.tops, g.links)
+    units = cut(R.subgraph_one_hop(_beam(g), g.tops, g.links))
     return units, R.node_vectors(units, g.low, R.with_subqueries(g.questions, g.subqueries))
 
 

@@ -128,3 +128,10 @@ def parse_questions(raw: DataFrame, schema: str) -> DataFrame:
 def latest_answers(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """(qid, answers): of answers to one question, that of the last line."""
     return lines.groupBy("qid").agg(F.max_by("answers", line_col).alias("answers"))
+
+
+def optional_table(spark: SparkSession, *paths: str) -> list[DataFrame] | None:
+    """Parquet tables at all of paths, or None if one of them isn't there."""
+    from .sinks import exists
+
+    return [spark.read.parquet(p) for p in paths] if all(exists(spark, p) for p in paths) else None
