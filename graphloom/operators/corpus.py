@@ -191,6 +191,17 @@ def children_of(parents: DataFrame, low: DataFrame) -> DataFrame:
     both = c.join(p, (F.col("doc") == F.col("pd")) & (ids.highest(F.col("cid")) == F.col("top")))
     return both.where(~F.col("top").startswith("p") | (F.instr("cid", "s") > 0)).select("doc", "top", "cid")
 
+def containing(docs: DataFrame, passages: DataFrame, most: int = 4096, text_col: str = "text") -> DataFrame:
+    """Pairs of docs and those of passages (item_id, passage) that their text contains.
+
+    All passages are compared with each text, so there may be `most` at most,
+    else ValueError; that is what the broadcast is bounded by.
+    """
+    if passages.count() > most:
+        raise ValueError(f"more than {most} passages")
+    return docs.join(F.broadcast(passages.where("passage <> ''")), F.col(text_col).contains(F.col("passage")))
+
+
 #: The kinds of components that a parsed document holds, with their layer.
 KINDS = {"text": "top", "table": "top", "image": "top", "sentence": "low", "proposition": "low", "table_segment": "low", "subimage": "low"}
 

@@ -18,6 +18,11 @@ SITE = "https://en.wikipedia.org"
 COMMONS = "https://commons.wikimedia.org"
 #: Headings after which a page's own content has ended.
 LAST_HEADINGS = ("References", "External links", "Notes", "See also")
+#: Classes of a page's title, body, headings (before their level), tables that are read whole, and a notice that isn't read.
+TITLE, BODY, HEADING = "firstHeading mw-first-heading", "mw-content-ltr mw-parser-output", "mw-heading"
+WHOLE_TABLES, NOTICE = {"infobox", "wikitable"}, "box-More_citations_needed_section"
+#: Where an image's own page shows it and says what it is.
+FULL_IMAGE, SUMMARY_ID, SUMMARY_TABLE = "fullImageLink", "Summary", "vevent"
 
 _LINK = "struct<text:string,hyperlink:string,start:int,end:int>"
 _CELL = f"struct<text:string,links:array<{_LINK}>,header:boolean,image:string,ref:string>"
@@ -184,17 +189,17 @@ def _leaf_tables(node: Node) -> list[Node]:
 
 
 def _title(page: Node) -> str:
-    head = page.find("h1", cls="firstHeading mw-first-heading") or page.find("h1")
+    head = page.find("h1", cls=TITLE) or page.find("h1")
     return " ".join(s.strip() for s in head.strings()) if head else ""
 
 
 def _content(page: Node, url: str) -> tuple[list[Node], bool]:
     """The elements of a page's body, and whether plain h2 to h6 count as headings there."""
-    body = page.find("div", cls="mw-content-ltr mw-parser-output")
+    body = page.find("div", cls=BODY)
     if COMMONS in url:
-        full = page.find("div", cls="fullImageLink")
-        summary = next((n for n in page.all("h2") if n.attrs.get("id") == "Summary"), None)
-        found = [full.find("img") if full else None, summary, page.find("table", cls="vevent")]
+        full = page.find("div", cls=FULL_IMAGE)
+        summary = next((n for n in page.all("h2") if n.attrs.get("id") == SUMMARY_ID), None)
+        found = [full.find("img") if full else None, summary, page.find("table", cls=SUMMARY_TABLE)]
         return [n for n in found if n is not None], False
     if body is None:
         body = page.find("article") or page.find("body") or page
@@ -214,8 +219,8 @@ def _content(page: Node, url: str) -> tuple[list[Node], bool]:
 
 def _heading(node: Node, plain: bool) -> tuple[int, str] | None:
     """Level and text, if the element is a heading."""
-    if node.tag == "div" and any(c.startswith("mw-heading") for c in node.classes):
-        levels = [c.removeprefix("mw-heading") for c in node.classes if c.startswith("mw-heading")]
+    if node.tag == "div" and any(c.startswith(HEADING) for c in node.classes):
+        levels = [c.removeprefix(HEADING) for c in node.classes if c.startswith(HEADING)]
         level = next((int(x) for x in levels if x.isdecimal()), 2)
         head = node.find("h2", "h3", "h4", "h5", "h6")
         return level, "".join(head.strings()).strip() if head else "Unknown"
@@ -269,9 +274,9 @@ def blocks(url: str | None, html: str | None) -> list[dict]:
             said, links = rich_text(caption) if caption else ("", [])
             src = img.attrs.get("src") if img else None
             emit("i", "i", "image", text=said, links=links, image=src and SITE + src)
-        elif node.tag == "table" and "box-More_citations_needed_section" in node.classes:
+        elif node.tag == "table" and NOTICE in node.classes:
             continue
-        elif node.tag == "table" and ({"infobox", "wikitable"} & set(node.classes) or node.find("table") is None):
+        elif node.tag == "table" and (WHOLE_TABLES & set(node.classes) or node.find("table") is None):
             table(node)
         else:
             for inner in _leaf_tables(node):
