@@ -105,6 +105,14 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, with as many underscores behind it as make it no column's."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_type, map_rows, utf8, width
+from .common import cut, id_type, map_rows, unused, utf8, width
 from .components import connected_components
 
 TILE = 1024
@@ -219,17 +219,20 @@ def simhash_components(
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """Of each near-duplicate group of docs the row with the smallest id, whole; rows without id stay.
 
-    Of rows that repeat an id, one stays.
+    Of rows that repeat an id, the one whose columns' hash is least stays.
     """
     parts = simhash_components(docs, id_col, text_col, radius)
     heads = cut(parts.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times")))
-    own = F.col(id_col) == F.col("doc_id_kept")
-    heads = heads.withColumnRenamed("doc_id", "doc_id_kept")
-    kept = docs.join(heads.where("times = 1"), own, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
-    repeats = heads.where("times > 1")
+    head = unused("head", docs)
+    own = F.col(f"`{id_col}`") == F.col(head)
+    single = heads.where("times = 1").select(F.col("doc_id").alias(head))
+    kept = docs.join(single, own, "left_semi").unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    repeats = heads.where("times > 1").select(F.col("doc_id").alias(head))
     if repeats.isEmpty():  # as ids are unique, mostly
         return kept
-    return kept.unionByName(docs.join(repeats, own, "left_semi").dropDuplicates([id_col]))
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    best = docs.join(repeats, own, "left_semi").groupBy(F.col(f"`{id_col}`").alias("i")).agg(F.min_by(F.struct(*whole), F.xxhash64(*whole)).alias("row"))
+    return kept.unionByName(best.select("row.*"))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
