@@ -11,8 +11,10 @@ from pyspark.sql.window import Window as W
 
 from ..functions.vector import ordered_products
 
-#: Questions that are broadcast at once; more go in several blocks.
-QUESTIONS_PER_BLOCK = 4096
+#: Questions that are broadcast at once, and best vectors that a task holds for all of them; more questions go in several blocks.
+QUESTIONS_PER_BLOCK, HELD = 4096, 1 << 21
+#: Estimated bytes of vectors from which a part of them, one in SHARE, is searched first, for a bound to the best scores.
+LARGE, SHARE = 1 << 33, 64
 
 
 def ranked(df: DataFrame, k: int, partition: str = "qid", score: str = "score", tie: str = "node") -> DataFrame:
@@ -21,33 +23,78 @@ def ranked(df: DataFrame, k: int, partition: str = "qid", score: str = "score",
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _block(questions: list, corpus: DataFrame, k: int) -> DataFrame:
-    spark = corpus.sparkSession
-    ids = [r[0] for r in questions]
-    held = spark.sparkContext.broadcast(np.array([r[1] for r in questions], np.float64))
-    node = corpus.schema["node"].dataType
-    schema = T.StructType().add("q", "integer").add("node", node).add("score", "double")
+def _keys(nodes: pa.Array) -> list[np.ndarray]:
+    """Arrays that sort as the nodes do; fields of a struct one after the other."""
+    if pa.types.is_struct(nodes.type):
+        return [k for field in nodes.flatten() for k in _keys(field)]
+    return [nodes.to_numpy(zero_copy_only=False)]
+
+
+def _best(q: np.ndarray, score: np.ndarray, nodes: pa.Array, k: int) -> np.ndarray:
+    """Places of the k first of each question, by score and then by node, sorted by question."""
+    order = np.lexsort((*_keys(nodes)[::-1], -score, q))
+    first = np.flatnonzero(np.diff(q[order], prepend=-1))
+    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return order[place < k]
+
+
+def _search(q: np.ndarray, bound: np.ndarray, batches, k: int):
+    """(question, score, nodes) of the k best of all batches for each question; what is below its bound isn't looked at."""
+    least = bound.copy()
+    parts: list[tuple] = []
+    size = 0
+
+    def settle() -> None:
+        nonlocal parts, size
+        i, s = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:2])
+        nodes = pa.concat_arrays([x[2] for x in parts])
+        keep = _best(i, s, nodes, k)
+        i, s = i[keep], s[keep]
+        parts, size = [(i, s, nodes.take(pa.array(keep)))], len(keep)
+        full = np.flatnonzero(np.bincount(i, minlength=len(q)) == k)
+        least[full] = s[np.searchsorted(i, full, side="right") - 1]
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+            score = ordered_products(q, x)
+            i, j = np.nonzero(score >= least[:, None])
+            if len(i):
+                parts.append((i, score[i, j], part.column(0).take(pa.array(j))))
+                size += len(i)
+            if size > 2 * len(q) * k + 65536:
+                settle()
+    if parts:
+        settle()
+        yield parts[0]
+
+
+def _found(held, bounds, corpus: DataFrame, k: int) -> DataFrame:
+    """(q, node, score): the k best of each task."""
+    schema = T.StructType().add("q", "integer").add("node", corpus.schema["node"].dataType).add("score", "double")
 
     def run(batches):
-        q = held.value
-        best = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                vec = part.column(1)
-                x = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                score = ordered_products(q, x)
-                if best is None:
-                    best = np.full(len(q), -np.inf)
-                # What is below a block's own k-th best is not among the k best; ties with it stay.
-                if score.shape[1] > k:
-                    best = np.maximum(best, np.partition(score, -k, axis=1)[:, -k])
-                i, j = np.nonzero(score >= best[:, None])
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), part.column(0).take(pa.array(j)), pa.array(score[i, j])], names=["q", "node", "score"])
-
-    found = corpus.select("node", "vec").where("vec is not null").mapInArrow(run, schema)
-    names = spark.createDataFrame(list(enumerate(ids)), T.StructType().add("n", "integer").add("qid", _id_type(ids)))
+        for i, s, nodes in _search(held.value, bounds.value, batches, k):
+            for at in range(0, len(i), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(i[at : at + 10_000].astype(np.int32)), nodes.slice(at, 10_000), pa.array(s[at : at + 10_000])], names=["q", "node", "score"])
+
+    return corpus.select("node", "vec").where("vec is not null").mapInArrow(run, schema)
+
+
+def _block(questions: list, corpus: DataFrame, k: int) -> DataFrame:
+    context = corpus.sparkSession.sparkContext
+    ids = [r[0] for r in questions]
+    held = context.broadcast(np.array([r[1] for r in questions], np.float64))
+    bound = np.full(len(ids), -np.inf)
+    size = int(corpus._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if k and size > LARGE:
+        # The k-th best of a part is no better than the k-th best of all: tasks needn't give what is below it.
+        part = _found(held, context.broadcast(bound), corpus.sample(1 / SHARE, seed=1), k)
+        for r in ranked(part, k, "q").where(F.col("rank") == k).select("q", "score").collect():
+            bound[r.q] = r.score
+    found = _found(held, context.broadcast(bound), corpus, k)
+    names = corpus.sparkSession.createDataFrame(list(enumerate(ids)), T.StructType().add("n", "integer").add("qid", _id_type(ids)))
     return ranked(found.join(F.broadcast(names), F.col("q") == F.col("n")).select("qid", "node", "score"), k)
 
 
@@ -59,11 +106,13 @@ def knn(questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(qid, node, score, rank) of the k vectors of corpus (node, vec) with the largest inner products with each question (qid, vec).
 
     The corpus is read once for each block of questions and stays where it is;
-    each task gives its own best only.  Fewer than k vectors give fewer rows.
+    each task holds and gives its own best only.  Equal scores go by node.
+    Fewer than k vectors give fewer rows.
     """
+    most = max(1, min(QUESTIONS_PER_BLOCK, HELD // max(k, 1)))
     blocks: list[list] = [[]]
     for r in questions.select("qid", "vec").orderBy("qid").toLocalIterator():
-        if len(blocks[-1]) == QUESTIONS_PER_BLOCK:
+        if len(blocks[-1]) == most:
             blocks.append([])
         blocks[-1].append((r.qid, r.vec))
     if not blocks[0]:

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.operators import graph as G
@@ -134,9 +136,27 @@ def test_knn_levels_ties_and_sizes(spark, monkeypatch):
     monkeypatch.setattr(K, "QUESTIONS_PER_BLOCK", 1)
     found = K.knn(asked, same, 3).orderBy("qid", "rank").collect()
     assert [(r.qid, r.node, r.rank) for r in found] == [(i, k, k + 1) for i in (1, 2) for k in range(3)]
+    monkeypatch.setattr(K, "LARGE", 0)
+    monkeypatch.setattr(K, "SHARE", 2)
+    again = K.knn(asked, same.repartition(5), 3).orderBy("qid", "rank").collect()
+    assert [r[:] for r in again] == [r[:] for r in found]
+    pairs = same.selectExpr("struct(cast(50 - node as string) as a, node as b) as node", "vec")
+    assert [r.node.a for r in K.knn(asked, pairs, 3).where("qid = 1").orderBy("rank").collect()] == ["1", "10", "11"]
     assert K.knn(asked.limit(0), same, 3).count() == 0 and K.knn(asked, same.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_search_keeps_the_best_of_many_chunks(k):
+    rng = np.random.default_rng(k)
+    q, x = rng.integers(-2, 3, (7, 4)).astype(float), rng.integers(-2, 3, (9000, 4)).astype(float)
+    nodes = rng.permutation(9000)
+    batches = [pa.RecordBatch.from_arrays([pa.array(nodes[a : a + 3000]), pa.array(x[a : a + 3000].tolist())], names=["node", "vec"]) for a in range(0, 9000, 3000)]
+    (i, s, found), = K._search(q, np.full(7, -np.inf), batches, k)
+    for n in range(7):
+        want = sorted(zip(-(x @ q[n]), nodes, strict=True))[:k]
+        assert [(-a, b) for a, b in zip(s[i == n], found.to_numpy()[i == n], strict=True)] == want
+
+
 def test_paths(spark):
     p = Plain(9)
     q, subs, tops, low, links = p.frames(spark)
