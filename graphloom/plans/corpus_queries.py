@@ -342,6 +342,15 @@ _TBL = _TBL.format(full="l_partkey::varchar, l_suppkey::varchar, l_returnflag =
 _ROW = "part || case when i.n is not null then ' <Image ' || i.n || '>' else '' end || ', ' || case when ret then 'returned , both <Image ' || r.n || '>' else supp end || ', ' || st || ' [SEP] '"
 _HEAD = "'Order ' || l.doc || ' [SEP] Orders, Lines [SEP] Part, Supplier , code, Status [SEP] '"
 
+
+def _sql(text):
+    """Text as SQL, line ends written out."""
+    return " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in text.split("\n"))
+
+
+_PAGE_A, _PAGE_B = (_sql(x) for x in serialize.PAGE.split("{}"))
+_LINE = """case when f.o = 2 * k then '<Image ' || num || '> , ' else '' end || part || ' | ' || case when ret then case when f.o = 2 * k + 1 then '<Image ' || num || '> , ' else '' end || 'returned , both' else ' ' || supp end || ' | ' || st || chr(10)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -405,5 +414,21 @@ union all select doc_id, 'i_1', 'image', 'top', lang from l where doc_id % 3 = 0
 from part, (values (1), (2)) v(k) where p_partkey % 3 = 0 or p_partkey % 3 = 1 and k = 1""",
     "result_tables": """with f as (select c_mktsegment as algorithm, c_nationkey % 3 as s, max(c_acctbal) as v from customer group by all)
 select algorithm, max(v) filter (where s = 0) as set0, max(v) filter (where s = 1) as set1, max(v) filter (where s = 2) as set2, null::double as set3, avg(v order by s) as mean from f group by algorithm""",
+    "page_prompt_build": f"""with s as (select s_suppkey as doc, s_suppkey % 10 as qid, (s_suppkey - s_suppkey % 10) // 10 + 1 as r from supplier)
+select qid, coalesce(string_agg({_sql("/* " + chr(10) + chr(10) + " Image summary: ocr ")} || doc || {_sql(chr(10) + chr(10) + " */" + chr(10))}, '' order by r) filter (where doc % 4 > 0), '') || {_PAGE_A} || 'Q' || qid || {_PAGE_B} as prompt,
+    coalesce(string_agg('f' || doc % 11 || '/x.png', '|' order by r) filter (where doc % 5 > 0), '') as images from s where r <= 3 group by qid""",
+    "prompt_build": f"""{_TBL}, placed as (select o_custkey as qid, o_orderkey as doc, cid, row_number() over (partition by o_custkey order by o_orderkey, cid) as r from orders, (values ('i_1'), ('p_1'), ('t_1')) v(cid) qualify r <= 5),
+f as (select doc, arg_min(path, o) as path, min(o) as o from cell group by doc),
+c as (select p.*, case when cid = 't_1' then f.path when cid = 'i_1' and p.doc % 2 = 0 then 'o' || p.doc || '.png' end as shown from placed p left join f on f.doc = p.doc where cid <> 't_1' or p.doc in (select doc from line)),
+n as (select *, 1 + coalesce(count(shown) over (partition by qid order by r rows between unbounded preceding and 1 preceding), 0) as num from c),
+t as (select n.qid, n.doc, string_agg({_LINE}, '' order by k) as body from n join line l on l.doc = n.doc left join f on f.doc = n.doc where cid = 't_1' group by n.qid, n.doc),
+x as (select n.*, case cid when 'p_1' then {_sql("/*" + chr(10) + "[Passage]" + chr(10) + "Title: Order ")} || n.doc || {_sql(chr(10) + "Section: Text" + chr(10) + chr(10) + "Of customer ")} || n.qid || {_sql(chr(10) + "*/" + chr(10) + chr(10))}
+    when 'i_1' then {_sql("/*" + chr(10) + "[Image]" + chr(10) + "Title: Order ")} || n.doc || {_sql(chr(10) + "Section: Text" + chr(10) + chr(10))} || case when shown is not null then '<Image ' || num || '>' || chr(10) else '' end || 'Caption: Of customer ' || n.qid || {_sql(chr(10) + "*/" + chr(10) + chr(10))}
+    else {_sql("/*" + chr(10) + "[Table]" + chr(10) + "Title: Order ")} || n.doc || {_sql(chr(10) + "Section: Orders, Lines" + chr(10) + chr(10) + "Part | Supplier , code | Status" + chr(10))} || t.body || {_sql("*/" + chr(10) + chr(10))} end as part from n left join t on t.qid = n.qid and t.doc = n.doc)
+select qid, case when count(shown) > 0 then {_sql(serialize.WITH_IMAGES)} else {_sql(serialize.WITHOUT_IMAGES)} end || {_sql(serialize.EXAMPLE + chr(10))} || string_agg(part, chr(10) order by r) || {_sql(chr(10) + "Question = What did customer ")} || qid || {_sql(" order?" + chr(10) + "The answer is: ")} as prompt,
+    coalesce(string_agg(shown, '|' order by r) filter (where shown is not null), '') as images from x group by qid""",
+    "decompose_questions": """with q as (select conv_id as qid, regexp_replace(left(text, 200), '[^A-Za-z ]', ' ', 'g') as question from conversations where turn = 0 and conv_id % 5 <> 0),
+w as (select *, regexp_extract_all(question, '[A-Za-z]{6,}')[1:3] as w from q), r as (select qid, case when len(w) > 0 then w else [question] end as w from w)
+select qid, (k - 1)::int as sq_pos, qid || '___' || (k - 1) as sqid, w[k] as subquery from (select *, unnest(range(1, len(w) + 1)) as k from r)""",
     "baseline_pages": "select l_orderkey as qid, 'doc_x' as doc, 'doc_x_' || l_partkey as page, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey || '.jpeg')::int as rank from lineitem where l_linenumber <= 3",
 }
