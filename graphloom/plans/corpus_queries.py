@@ -380,6 +380,13 @@ select 'text' as modality, * from s union all select 'all', * from s""",
 pics as (select doc, string_agg('<Image ' || n || '> ' || path[5:] || case when path[6:6]::varchar in ('0', '2', '4', '6') then ' picture ' || path[6:6] else '' end || ' [SEP] ', '' order by n) as t, string_agg(path, '|' order by n) as images from num group by doc),
 body as (select l.doc, string_agg({_ROW}, '' order by k) as t from line l left join num i on i.doc = l.doc and i.path = l.img left join num r on r.doc = l.doc and r.path = 'img/r.png' group by l.doc)
 select l.doc, 't_1' as cid, {_HEAD} || l.t || coalesce(pics.t, '') as target, coalesce(images, '') as images from body l left join pics on pics.doc = l.doc""",
+    "serialize_everything": f"""{_TBL}, num as (select doc, path, row_number() over (partition by doc order by o) as n from (select doc, path, min(o) as o from cell group by doc, path)),
+pics as (select doc, sum(length('<Image ' || n || '> ' || path[5:] || ' [SEP] ')) as c, count(*) as images from num group by doc),
+body as (select l.doc, sum(length({_ROW})) as c from line l left join num i on i.doc = l.doc and i.path = l.img left join num r on r.doc = l.doc and r.path = 'img/r.png' group by l.doc),
+para as (select t from (select unnest(string_split(text, chr(10))) as t from documents where text is not null) where t <> '')
+select 'p' as letter, count(*) as n, sum(16 + length(t))::bigint as chars, 0::bigint as images from para
+union all select 't', count(*), sum(length({_HEAD}) + l.c + coalesce(pics.c, 0))::bigint, coalesce(sum(images), 0)::bigint from body l left join pics on pics.doc = l.doc
+union all select 'i', count(*), sum(length(s_name || ' [SEP] Pictures [SEP] ' || case when s_suppkey % 3 > 0 then ' [SEP] caption' || chr(10) || s_suppkey else ' ' end))::bigint, count(case when s_suppkey % 5 > 0 then 1 end) from supplier""",
     "image_serialize": """select s_suppkey as doc, replace(s_name || ' [SEP] Pictures [SEP] ' || case when s_suppkey % 3 > 0 then ' [SEP] caption' || chr(10) || s_suppkey else ' ' end
     || case when s_suppkey % 5 = 0 then ' [SEP]  ' when s_suppkey % 11 < 8 then ' [SEP] summary ' || s_suppkey % 11 else '' end
     || ' [SEP] ' || case when s_suppkey % 4 > 0 then ' [SEP] ocr ' || s_suppkey else ' ' end, chr(10), ' ') as target, case when s_suppkey % 5 > 0 then 'f' || s_suppkey % 11 || '/x.png' else '' end as images from supplier""",
