@@ -7,8 +7,14 @@ gathered beyond one paragraph or table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from ..functions import ids
@@ -191,15 +197,37 @@ def children_of(parents: DataFrame, low: DataFrame) -> DataFrame:
     both = c.join(p, (F.col("doc") == F.col("pd")) & (ids.highest(F.col("cid")) == F.col("top")))
     return both.where(~F.col("top").startswith("p") | (F.instr("cid", "s") > 0)).select("doc", "top", "cid")
 
-def containing(docs: DataFrame, passages: DataFrame, most: int = 4096, text_col: str = "text") -> DataFrame:
-    """Pairs of docs and those of passages (item_id, passage) that their text contains.
+def containing(docs: DataFrame, passages: DataFrame, most: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, item_id), once each: documents and the passages (item_id, passage) that their text contains.
 
-    All passages are compared with each text, so there may be `most` at most,
-    else ValueError; that is what the broadcast is bounded by.
+    The passages make one automaton, through which each text goes once.  It is
+    broadcast, so there may be `most` passages at most, else ValueError.  Empty and null ones are in no text.
     """
-    if passages.count() > most:
+    rows = passages.where("passage <> ''").limit(most + 1).collect()
+    if len(rows) > most:
         raise ValueError(f"more than {most} passages")
-    return docs.join(F.broadcast(passages.where("passage <> ''")), F.col(text_col).contains(F.col("passage")))
+    named: dict[str, list] = {}
+    for r in rows:
+        named.setdefault(r.passage, []).append(r.item_id)
+    held = docs.sparkSession.sparkContext.broadcast(named)
+    item = to_arrow_type(passages.schema["item_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for passage, ids in held.value.items():
+            automaton.add_word(passage, ids)
+        if held.value:
+            automaton.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for k, text in enumerate(batch.column(1).to_pylist() if held.value else []):
+                inside = {i for _, ids in automaton.iter(text or "") for i in ids}
+                at += [k] * len(inside)
+                found += sorted(inside)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, item)], names=[id_col, "item_id"])
+
+    schema = T.StructType([docs.schema[id_col], passages.schema["item_id"]])
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 #: The kinds of components that a parsed document holds, with their layer.

@@ -81,3 +81,12 @@ def test_boxes(spark):
 def test_pending(spark):
     work, done = spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(1,), (1,)], "k int")
     assert rows(C.pending(work, done, "k")) == [(2,), (2,)] and C.pending(work, done, "k", overwrite=True).count() == 3
+
+
+def test_containing(spark):
+    docs = spark.createDataFrame([(1, "xx the cat yy the cat"), (2, None), (3, ""), (4, "the ca"), (None, "cat")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "the cat"), (2, "cat"), (3, ""), (4, None), (5, "cat")], "item_id bigint, passage string")
+    assert rows(C.containing(docs, items)) == sorted([(1, 1), (1, 2), (1, 5), (None, 2), (None, 5)], key=str)
+    assert C.containing(docs, items.limit(0)).count() == 0 and C.containing(docs.limit(0), items).count() == 0
+    with pytest.raises(ValueError):
+        C.containing(docs, items, most=2)
