@@ -217,6 +217,7 @@ def beam_paths(questions, subqueries, low: DataFrame, neighbours: DataFrame, bea
     paths = knn(first, low.select("node", "vec"), beam).select("qid", F.array("node").alias("path"), "score", "rank")
     vecs = low.select(F.col("node").alias("next"), F.col("vec").alias("next_vec")).where("next_vec is not null")
     near = neighbours.select(F.col("node").alias("from"), F.col("near").alias("to"))
+    w = W.partitionBy("qid").orderBy("ended", F.desc("score"), "path")
     for step in range(1, last + 1):
         paths = cut(paths)
         q = asked.where(F.col("sq_pos") == step).select(F.col("qid").alias("q"), F.col("vec").alias("q_vec"))
@@ -224,11 +225,13 @@ def beam_paths(questions, subqueries, low: DataFrame, neighbours: DataFrame, bea
             paths.join(q, F.col("qid") == F.col("q"))
             .join(near, F.element_at("path", -1) == F.col("from"))
             .join(vecs, F.col("to") == F.col("next"))
-            .select("qid", F.concat("path", F.array("next")).alias("path"), (F.col("score") + dot("q_vec", "next_vec")).alias("score"))
+            .select("qid", F.concat("path", F.array("next")).alias("path"), (F.col("score") + dot("q_vec", "next_vec")).alias("score"), F.lit(0).alias("ended"))
         )
-        longer = cut(ranked(longer, beam, tie="path"))
-        stay = paths.join(longer.select(F.col("qid").alias("q")).distinct(), F.col("qid") == F.col("q"), "left_anti")
-        paths = longer.unionByName(stay.select("qid", "path", "score", "rank"))
+        # A question's paths as they are count only if none of them could be made longer.
+        both = longer.unionByName(paths.select("qid", "path", "score", F.lit(1).alias("ended")))
+        best = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= beam)
+        best = best.withColumn("least", F.min("ended").over(W.partitionBy("qid")))
+        paths = best.where("ended = least").select("qid", "path", "score", "rank")
     return paths
 
 
