@@ -25,6 +25,8 @@ SITE = "https://en.wikipedia.org"
 THUMBS = "https://upload.wikimedia.org"
 #: Fixed value: the folder that sub-images lie under.
 SUBIMAGES = "imagesProcessed_sub/"
+#: Characters of a stretch of a paragraph.
+REACH = 256
 #: The default sentence: up to the last of a run of full stops, question or exclamation marks, with the space behind it.
 SENTENCE = r"[^.!?]+[.!?]*\s*"
 
@@ -107,7 +109,8 @@ def located(sentences: DataFrame, paragraphs: DataFrame) -> DataFrame:
     both = sentences.join(p, (F.col("doc") == F.col("d")) & (ids.highest(F.col("cid")) == F.col("para")))
     exact = F.expr("locate(text, whole)")
     loose = F.regexp_instr("whole", _tolerant(F.col("text")))
-    at = F.when(exact > 0, exact).when(loose > 0, loose)
+    # Through an array, so that each search is written once and runs once.
+    at = F.get(F.transform(F.array(exact), lambda x: F.when(x > 0, x).otherwise(F.get(F.transform(F.array(loose), lambda y: F.when(y > 0, y)), 0))), 0)
     missing = F.raise_error(F.concat(F.lit("sentence not in its paragraph: "), F.col("cid"))).cast("int")
     return both.withColumn("start", F.coalesce(at - 1, missing)).drop("d", "whole")
 
@@ -116,11 +119,14 @@ def edges_to_sentences(placed: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc, cid, start, end, ...): each edge of a paragraph (doc, para, start, end, ...) at the first sentence that holds it, with its offsets there.
 
     placed is what located() gives.  Edges across sentences go.  The join is
-    on the paragraph; how far a sentence reaches is checked on top.
+    on the paragraph and the stretch of REACH characters that the edge starts
+    in, so that a long paragraph doesn't meet all of its sentences with all of its edges.
     """
     s = placed.select(F.col("doc").alias("sd"), F.col("para").alias("sp"), "cid", F.col("start").alias("from"), (F.col("start") + F.length("text")).alias("to"))
-    keyed = edges.withColumn("edge_no", F.struct(*[F.col(c) for c in edges.columns]))
-    held = keyed.join(s, (F.col("doc") == F.col("sd")) & (F.col("para") == F.col("sp")) & (F.col("from") <= F.col("start")) & (F.col("end") <= F.col("to")))
+    s = s.select("*", F.explode(F.sequence(F.expr(f"from div {REACH}"), F.expr(f"to div {REACH}"))).alias("at"))
+    keyed = edges.select(F.struct(*[F.col(c) for c in edges.columns]).alias("edge_no"), "doc", "para", "start", "end", F.expr(f"start div {REACH}").alias("edge_at"))
+    same = (F.col("doc") == F.col("sd")) & (F.col("para") == F.col("sp")) & (F.col("edge_at") == F.col("at"))
+    held = keyed.join(s, same & (F.col("from") <= F.col("start")) & (F.col("end") <= F.col("to")))
     # Repeated edges stay: they are counted before the first sentence is chosen.
     times = held.groupBy("edge_no", "cid", "from").agg(F.count("*").alias("n"))
     best = times.groupBy("edge_no").agg(F.min(F.struct("from", F.length("cid").alias("l"), "cid", "n")).alias("b"))

@@ -33,11 +33,15 @@ def text_line(title: Column, path: Column, text: Column) -> Column:
 
 def commas(text: Column) -> Column:
     """One space on both sides of each comma."""
-    return F.regexp_replace(text, r"(?U)\s*,\s*", " , ")
+    return F.when(text.contains(","), F.regexp_replace(text, r"(?U)\s*,\s*", " , ")).otherwise(text)
+
+
+#: Fixed value: all white space of Unicode, and the four separators of ASCII.
+SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(SPACE))
 
 
 def resolved(cells: Column, refs: Column) -> Column:

@@ -41,6 +41,20 @@ def test_sentences_and_their_edges(spark):
     assert rows(C.edges_to_sentences(placed, edges)) == [(1, "p_1_s1", 0, 3, "a"), (1, "p_1_s1", 0, 3, "a"), (1, "p_1_s2", 0, 9, "whole"), (1, "p_1_s4", 0, 6, "end")]
 
 
+def test_edges_of_a_long_paragraph(spark):
+    words = [f"w{k}" * (k % 90 + 1) + ". " for k in range(60)]
+    text = "".join(words)
+    paras = spark.createDataFrame([(1, "p_1", text)], "doc int, cid string, text string")
+    spans = [(a, a + n) for a in range(0, len(text), 37) for n in (1, 20, 300)]
+    edges = spark.createDataFrame([(1, "p_1", a, b, f"{a}-{b}") for a, b in spans], "doc int, para string, start int, end int, edge string")
+    placed = C.located(C.sentences(paras), paras)
+    want, at = [], 0
+    for k, w in enumerate(words):
+        want += [(f"p_1_s{k + 1}", a - at, b - at, f"{a}-{b}") for a, b in spans if at <= a and b <= at + len(w)]
+        at += len(w)
+    assert rows(C.edges_to_sentences(placed, edges).select("cid", "start", "end", "edge")) == sorted(want, key=str)
+
+
 def test_trimmed_sentences_are_found(spark):
     paras = spark.createDataFrame([(1, "p_1", "x  (a\n b) \\E y")], "doc int, cid string, text string")
     ok = spark.createDataFrame([(1, "p_1_s1", 0, "(a b) \\E"), (1, "p_1_s2", 1, " y ")], "doc int, cid string, pos int, text string")
