@@ -8,6 +8,7 @@ gathered beyond one paragraph or table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
@@ -135,18 +136,46 @@ def edges_to_sentences(placed: DataFrame, edges: DataFrame) -> DataFrame:
     return once.select("doc", "cid", (F.col("start") - F.col("from")).alias("start"), (F.col("end") - F.col("from")).alias("end"), *rest)
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+def _spaced(text: Column) -> Column:
+    """The words of text, runs of a-z and 0-9 in lower case, with spaces between."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
 
 
 def edges_to_propositions(propositions: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc, cid, text, edge, hyperlink): each edge (doc, para, text, edge, hyperlink) of a paragraph at all of its propositions (doc, cid, text) that have the anchor's words.
 
-    An anchor of punctuation only is in every proposition.
+    An anchor of punctuation only is in every proposition.  A paragraph's
+    propositions and edges are gathered and its words indexed, so that the work grows
+    with the paragraph and what is found, not with edges times propositions.
     """
-    p = propositions.select(F.col("doc").alias("pd"), ids.highest(F.col("cid")).alias("pp"), "cid", tokens(F.col("text")).alias("said"))
-    both = edges.join(p, (F.col("doc") == F.col("pd")) & (F.col("para") == F.col("pp")))
-    return both.where(F.size(F.array_except(tokens(F.col("text")), F.col("said"))) == 0).select("doc", "cid", "text", "edge", "hyperlink")
+    p = propositions.select("doc", ids.highest(F.col("cid")).alias("para"), F.struct("cid", _spaced(F.col("text")).alias("said")).alias("prop"))
+    e = edges.where("text is not null").select("doc", "para", F.struct("text", "edge", "hyperlink", _spaced(F.col("text")).alias("want")).alias("link"))
+    # A proposition of null text holds no anchor, not even one without words.
+    both = p.where("prop.said is not null").unionByName(e, allowMissingColumns=True).where("doc is not null and para is not null")
+    met = both.groupBy("doc", "para").agg(F.collect_list("prop").alias("props"), F.collect_list("link").alias("links")).where("size(props) > 0 and size(links) > 0").drop("para")
+    schema = T.StructType([met.schema["doc"], propositions.schema["cid"], *[edges.schema[c] for c in ("text", "edge", "hyperlink")]])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for r in (r for at in range(0, batch.num_rows, 64) for r in batch.slice(at, 64).to_pylist()):
+                places: dict[str, set[int]] = {}
+                for i, x in enumerate(r["props"]):
+                    for word in x["said"].split():
+                        places.setdefault(word, set()).add(i)
+                for x in r["links"]:
+                    want = x["want"].split()
+                    if not all(w in places for w in want):
+                        continue
+                    for i in sorted(set.intersection(*[places[w] for w in want])) if want else range(len(r["props"])):
+                        yield r["doc"], r["props"][i]["cid"], x["text"], x["edge"], x["hyperlink"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = found(batches)
+        while some := list(islice(rows, 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names=schema.names)
+
+    return met.mapInArrow(run, schema)
 
 
 def subimages(images: DataFrame, files: DataFrame) -> DataFrame:

@@ -49,9 +49,9 @@ def edge_to_sentence(spark, sf_dir):
 
 
 def edge_to_proposition(spark, sf_dir):
-    """Propositions are every fourth sentence."""
+    """Propositions are all sentences."""
     paras = _paragraphs(spark, sf_dir)
-    return C.edges_to_propositions(C.sentences(paras).where("pos % 4 = 0"), _edges(paras).where("start < 400"))
+    return C.edges_to_propositions(C.sentences(paras), _edges(paras))
 
 
 def text_edge_counts(spark, sf_dir):
