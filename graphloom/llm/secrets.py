@@ -25,7 +25,7 @@ _NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_]*(?:[.\-][A-Za-z0-9_]+)*)(?:["']?\]
 _GAP = re.compile(r"[ \t]*")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _QUOTED = re.compile(r"""(?:[rbuRBU]{0,2})("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)""")
-_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>+]+""")
+_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
 _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*", re.A)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -69,7 +69,9 @@ def lexed(text: str, threshold: float = 0.6) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly, through other names or as parts of a sum.
 
     Names keep the literals last assigned to them, so that
-    ``k = "..."; client_secret = k`` marks the literal of k.
+    ``k = "..."; client_secret = k`` marks the literal of k.  A bare value runs
+    through plus signs without space around them, as those of base64; it is a
+    sum where its parts are known names or a literal in quotes follows.
     """
     known: dict[str, list[tuple[int, int, str]]] = {}
     found: set[tuple[int, int]] = set()
@@ -80,17 +82,28 @@ def lexed(text: str, threshold: float = 0.6) -> list[tuple[int, int]]:
             continue
         name, pos = left[1], _GAP.match(text, sign.end()).end()
         literals: list[tuple[int, int, str]] = []
+        whole: list[tuple[int, int, str]] = []  # a bare value of which only some parts are known names
         while True:
             if q := _QUOTED.match(text, pos):
                 literals.append((q.start(1) + 1, q.end(1) - 1, q[1][1:-1]))
                 pos = q.end()
             elif b := _BARE.match(text, pos):
-                word = b[0].rstrip(".:!?")
-                if _IDENT.fullmatch(word) and word in known:
-                    literals += known[word]
-                elif not literals and word and len(word) <= 4096:
-                    literals.append((b.start(), b.start() + len(word), word))
-                pos = b.end()
+                stop, last = b.end(), b[0].rfind("+")
+                if last >= 0:
+                    after = _GAP.match(text, b.start() + last + 1).end()
+                    name_after = _IDENT.match(text, after) if after > stop else None
+                    if _QUOTED.match(text, after) or name_after and name_after[0] in known:
+                        stop = b.start() + last
+                word = text[b.start() : stop].rstrip(".:!?")
+                parts, first = word.split("+"), not literals
+                names = [x for x in parts if _IDENT.fullmatch(x) and x in known]
+                for x in names:
+                    literals += known[x]
+                    if len(literals) > 64:
+                        break
+                if first and word and len(names) < len(parts) and len(word) <= 4096:
+                    (whole if names else literals).append((b.start(), b.start() + len(word), word))
+                pos = stop
             else:
                 break
             plus = _PLUS.match(text, pos)
@@ -99,10 +112,11 @@ def lexed(text: str, threshold: float = 0.6) -> list[tuple[int, int]]:
             pos = plus.end()
         if not literals:
             continue
-        known[name] = literals
+        known[name] = literals + whole
         score = name_score(name)
-        if score and score * literal_score("".join(x for *_, x in literals)) >= threshold:
-            found.update((a, b) for a, b, _ in literals if b > a)
+        for some in (literals, whole) if score else ():
+            if score * literal_score("".join(x for *_, x in some)) >= threshold:
+                found.update((a, b) for a, b, _ in some if b > a)
     return sorted(found)
 
 

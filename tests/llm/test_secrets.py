@@ -38,6 +38,18 @@ def test_lexing_leaves_others_alone():
         assert S.lexed(text) == [], text
 
 
+def test_bare_values_run_through_plus_signs():
+    for value in ("wJalrXUtn+FEMI/K7MDENG+bPxRfiCYzz", "wJa+rXUtnFEMI/K7MDENG/bPxRfiCY", "+wJalrXUtnFEMI/K7MD++NGbPx+"):
+        text = f"aws_secret_access_key = {value}\nnext line"
+        assert [text[a:b] for a, b in S.lexed(text)] == [value]
+        assert S.redact(text, S.scan(text)) == "aws_secret_access_key = [SECRET]\nnext line"
+    for tail in ("a+b", "a + b", "a+ b", 'a+"r7TzPP"', "a+r'r7TzPP'", 'a + "r7TzPP"'):
+        text = f'a = "q9Xw2L"\nb = "r7TzPP"\nprivate_key = {tail}\n'
+        assert [text[x:y] for x, y in S.lexed(text)] == ["q9Xw2L", "r7TzPP"], tail
+    text = 'k = "q9Xw2Lr7Tz"\nclient_secret = k+wJalrXUtn7/x\n'
+    assert [text[x:y] for x, y in S.lexed(text)] == ["q9Xw2Lr7Tz", "k+wJalrXUtn7/x"]
+
+
 def test_redact():
     text = 'password="abcdefgh1" and x'
     assert S.redact(text, S.scan(text)) == 'password="[SECRET]" and x'
