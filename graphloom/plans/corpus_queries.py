@@ -239,7 +239,7 @@ def benchmark_evidence(spark, sf_dir):
 def document_scan(spark, sf_dir):
     """Documents as parsed ones: paragraphs, sentences and a picture each, all seven kinds scanned."""
     docs = _read(spark, sf_dir, "documents")
-    lines = F.transform(F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 3), lambda t, i: F.struct(F.concat(F.lit("p_"), i + 1), F.struct(t.alias("text"))))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t, i: F.struct(F.concat(F.lit("p_"), i + 1), F.struct(t.alias("text"))))
     none = F.create_map().cast("map<string,struct<text:string>>")
     picture = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("i_1"), F.struct(F.struct(F.col("lang").alias("text")).alias("caption")))).otherwise(F.create_map().cast("map<string,struct<caption:struct<text:string>>>"))
     parsed = docs.select(F.col("doc_id").alias("file"), F.map_from_entries(lines).alias("text"), *[none.alias(k) for k in ("table", "sentence", "proposition", "table_segment", "subimage")], picture.alias("image"))

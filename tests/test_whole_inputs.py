@@ -36,3 +36,11 @@ def test_edge_to_proposition_reads_all_edges_and_sentences(spark, tmp_path):
                         other += k % 4 > 0
     assert beyond and other
     assert rows(Q.edge_to_proposition(spark, path)) == sorted(want, key=str)
+
+
+def test_document_scan_reads_all_lines(spark, tmp_path):
+    texts = {1: "\n".join(f"line {k}" for k in range(40)), 2: "a\n\nb\nc\n", 3: None, 6: ""}
+    path = written(spark, tmp_path, "documents", [(k, t, "en") for k, t in texts.items()], "doc_id bigint, text string, lang string")
+    want = [(d, f"p_{k + 1}", "text", "top", line) for d, t in texts.items() for k, line in enumerate((t or "").split("\n"))]
+    want += [(d, "i_1", "image", "top", "en") for d in texts if d % 3 == 0]
+    assert rows(Q.document_scan(spark, path)) == sorted(want, key=str)
