@@ -288,15 +288,15 @@ def _echo():
 
     def ask(prompt: str) -> str:
         question = prompt.split("Question: ")[-1].split("\n")[0]
-        words = re.findall(r"[A-Za-z]{6,}", question)[:3]
+        words = re.findall(r"[A-Za-z]{6,}", question)
         return "```json\n" + json.dumps(words) + "\n```" if words else question
 
     return ask
 
 
 def decompose_questions(spark, sf_dir):
-    """Users' first lines as questions, by a stand-in model; done ones left out."""
-    conv = _read(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("qid"), F.substring("text", 1, 200).alias("question"))
+    """Users' whole first turns as questions, by a stand-in model; done ones left out."""
+    conv = _read(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("qid"), F.col("text").alias("question"))
     conv = conv.withColumn("question", F.regexp_replace("question", r"[^A-Za-z ]", " "))
     return questions.decompose(conv, _echo, conv.where("qid % 5 = 0").select("qid"))
 
@@ -324,7 +324,7 @@ def stream_sentences(spark, sf_dir):
 
 def baseline_pages(spark, sf_dir):
     """Orders' lines as ranked page images."""
-    lines = _read(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     unit = F.struct(F.array(F.struct(F.concat(F.lit("doc_x_"), F.col("l_partkey"), F.lit(".jpeg")).alias("doc"), F.lit("i_1").alias("cid"))).alias("nodes"))
     results = lines.groupBy(F.col("l_orderkey").alias("qid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", unit.alias("u")))), lambda x: x["u"]).alias("units"))
     return E.parse_baseline(results, (".jpeg", ".jpg"))

@@ -44,3 +44,21 @@ def test_document_scan_reads_all_lines(spark, tmp_path):
     want = [(d, f"p_{k + 1}", "text", "top", line) for d, t in texts.items() for k, line in enumerate((t or "").split("\n"))]
     want += [(d, "i_1", "image", "top", "en") for d in texts if d % 3 == 0]
     assert rows(Q.document_scan(spark, path)) == sorted(want, key=str)
+
+
+def test_decompose_questions_reads_whole_turns(spark, tmp_path):
+    first = {1: "Tell me " + "of it and " * 40 + "mountains, rivers\nand harbours beyond glaciers", 2: "no word", 5: "done already", 7: "single?"}
+    values = [(k, 0, "user", t) for k, t in first.items()] + [(1, 1, "assistant", "another turn")]
+    path = written(spark, tmp_path, "conversations", values, "conv_id bigint, turn int, role string, text string")
+    want = []
+    for k, t in first.items():
+        plain = re.sub("[^A-Za-z ]", " ", t)
+        want += [(k, i, f"{k}___{i}", w) for i, w in enumerate(re.findall("[A-Za-z]{6,}", plain) or [plain]) if k % 5]
+    assert rows(Q.decompose_questions(spark, path)) == sorted(want, key=str)
+
+
+def test_baseline_pages_reads_all_lines(spark, tmp_path):
+    lines = [(k, n, 10 * k + n) for k, most in ((1, 7), (2, 1), (3, 4)) for n in range(1, most + 1)]
+    path = written(spark, tmp_path, "lineitem", lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint")
+    got = {(r.qid, r.page, r["rank"]) for r in Q.baseline_pages(spark, path).collect()}
+    assert got == {(k, f"doc_x_{part}", n) for k, n, part in lines}
