@@ -21,7 +21,8 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _HEX_MARK = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 
 _SIGN = re.compile(r"=>|:=|(?<![=!<>:])=(?![=>~])|:(?![:/=])")
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_]*(?:[.\-][A-Za-z0-9_]+)*)(?:["']?\]|["'])?(?:[ \t]*:[ \t]*[A-Za-z_]\w*)?[ \t]*\Z""", re.A)
+#: An assigned name and what may stand between it and its sign, read backwards from the sign.
+_EMAN = re.compile(r"""[ \t]*(?:\w*[A-Za-z_][ \t]*:[ \t]*)?(?:\]["']?|["'])?((?:\w+[.\-])*\w*[A-Za-z_])""", re.A)
 _GAP = re.compile(r"[ \t]*")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
 _QUOTED = re.compile(r"""(?:[rbuRBU]{0,2})("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)""")
@@ -52,7 +53,7 @@ def literal_score(value: str) -> float:
     """How much a literal looks like a secret, 0 to 1: its entropy, length and kinds of characters."""
     if len(value) < 8 or _DUMMY.match(value) or not value.isprintable():
         return 0.0
-    counts = Counter(value[:4096])
+    counts = Counter(value)
     total = sum(counts.values())
     entropy = -sum(c / total * math.log2(c / total) for c in counts.values())
     kinds = sum(any(f(c) for c in counts) for f in (str.isdigit, str.islower, str.isupper, lambda c: not c.isalnum()))
@@ -74,18 +75,21 @@ def lexed(text: str, threshold: float = 0.6) -> list[tuple[int, int]]:
     sum where its parts are known names or a literal in quotes follows.
     """
     known: dict[str, list[tuple[int, int, str]]] = {}
+    back = text[::-1]
     found: set[tuple[int, int]] = set()
     for sign in _SIGN.finditer(text):
         at = sign.start()
-        left = _NAME.search(text, max(0, at - 96), at)
+        left = _EMAN.match(back, len(text) - at)
         if not left:
             continue
-        name, pos = left[1], _GAP.match(text, sign.end()).end()
+        name, pos = left[1][::-1], _GAP.match(text, sign.end()).end()
         literals: list[tuple[int, int, str]] = []
         whole: list[tuple[int, int, str]] = []  # a bare value of which only some parts are known names
+        seen: set[tuple[int, int, str]] = set()
         while True:
             if q := _QUOTED.match(text, pos):
                 literals.append((q.start(1) + 1, q.end(1) - 1, q[1][1:-1]))
+                seen.add(literals[-1])
                 pos = q.end()
             elif b := _BARE.match(text, pos):
                 stop, last = b.end(), b[0].rfind("+")
@@ -98,16 +102,17 @@ def lexed(text: str, threshold: float = 0.6) -> list[tuple[int, int]]:
                 parts, first = word.split("+"), not literals
                 names = [x for x in parts if _IDENT.fullmatch(x) and x in known]
                 for x in names:
-                    literals += known[x]
-                    if len(literals) > 64:
-                        break
-                if first and word and len(names) < len(parts) and len(word) <= 4096:
+                    # Sums of sums may double each time: literals of long ones count once.
+                    long = len(literals) + len(known[x]) > 64
+                    literals += [y for y in dict.fromkeys(known[x]) if y not in seen] if long else known[x]
+                    seen.update(known[x])
+                if first and word and len(names) < len(parts):
                     (whole if names else literals).append((b.start(), b.start() + len(word), word))
                 pos = stop
             else:
                 break
             plus = _PLUS.match(text, pos)
-            if not plus or len(literals) > 64:
+            if not plus:
                 break
             pos = plus.end()
         if not literals:

@@ -50,6 +50,21 @@ def test_bare_values_run_through_plus_signs():
     assert [text[x:y] for x, y in S.lexed(text)] == ["q9Xw2Lr7Tz", "k+wJalrXUtn7/x"]
 
 
+def test_lexing_has_no_limits_of_length():
+    long = "aB3/x9Qz" * 700
+    assert [text[a:b] for text in [f"private_key = {long}\n"] for a, b in S.lexed(text)] == [long]
+    late = "x" * 4096 + "aB3/x9Qz" * 2000
+    assert S.literal_score(late) > S.literal_score("x" * 4096)
+    for text in ("secret_key" + " " * 200 + '= "q9Xw2Lr7Tz"', "secret.token." + "a" * 120 + ' = "q9Xw2Lr7Tz"', 'secret_key : ' + "T" * 120 + ' = "q9Xw2Lr7Tz"'):
+        assert [text[a:b] for a, b in S.lexed(text)] == ["q9Xw2Lr7Tz"], text
+    text = "private_key = " + " + ".join(f'"q9{k}Xw"' for k in range(100))
+    assert len(S.lexed(text)) == 100
+    text = "".join(f'p{k} = "q9{k}Xw"\n' for k in range(100)) + "private_key = " + "+".join(f"p{k}" for k in range(100))
+    assert len(S.lexed(text)) == 100
+    text = 'a = "q9Xw2Lr7Tz"\n' + "a = a + a\na = a+a\n" * 50 + "private_key = a"
+    assert [text[x:y] for x, y in S.lexed(text)] == ["q9Xw2Lr7Tz"]
+
+
 def test_redact():
     text = 'password="abcdefgh1" and x'
     assert S.redact(text, S.scan(text)) == 'password="[SECRET]" and x'
