@@ -41,12 +41,14 @@ class Scratch:
         set_checkpoint_dir(spark)
         self.spark = spark
         self.path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+        self.written: set[str] = set()
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         before = self.spark.conf.get(self._CLEANUP, None)
         self.spark.conf.set(self._CLEANUP, "true")
         try:
             df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+            self.written.add(name)
         finally:
             if before is None:
                 self.spark.conf.unset(self._CLEANUP)
@@ -59,6 +61,10 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.written.discard(name)
+
+    def keep_only(self, *names: str) -> None:
+        self.drop(*(self.written - set(names)))
 
 
 def width(spark: SparkSession) -> int:

@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_fingerprints": digests.op4_fingerprints,
     "op5_substrings": substrings.op5_substrings,
+    "substrings_reference": substrings.substrings_reference,
     "op6_urls": urls.op6_urls,
     "op7_pieces": pieces.op7_pieces,
     "op8_langid": langid.op8_langid,
@@ -20,5 +21,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_quality": quality.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "substrings_reference": substrings.REFERENCE_SQL,
     "op9_chat": chat.OP9_SQL,
 }

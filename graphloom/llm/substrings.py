@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_values, id_type, utf8, width
+from .common import Scratch, column_values, id_type, mix64, utf8, width
 from .words import Hasher, covered
 
 WINDOW = 35  # words of a window
 GRAM = 8  # words of an anchor
-#: Occurrences of an anchor from which its windows are counted one by one instead of in an automaton.
-HOT = 1000
+#: Levels of routing: how many neighbouring windows may share a key. The key is what all of them have in common, 36 words
+#: less their number: the anchor at first, then 29 words around it, then the window itself.
+RUNS = (WINDOW - GRAM + 1, 7, 1)
+#: Unlike pieces of a key beyond which they are cut and dealt anew by the longer keys of the next level.
+FULL = 100
 #: Bits of each of the two filters of shared anchors that are broadcast: 16 MB, whatever the data.
 FILTER_BITS = 1 << 27
 
@@ -153,7 +156,7 @@ def shared_anchors(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             made = [anchors(hasher.words(utf8(t))[2], hasher)[2:] for t in column_values(batch.column(0), 64)]
             for at in range(0, len(made), 2000):
                 a, w = (np.concatenate(z) for z in zip(*made[at : at + 2000], strict=True))
-                yield pa.RecordBatch.from_arrays([_signed(a), _signed(w >> np.uint64(16))], names=["a", "w"])
+                yield pa.RecordBatch.from_arrays([_signed(a), _signed(w)], names=["a", "w"])
 
     counted = rows.select("text").mapInArrow(run, "a bigint, w bigint").groupBy("a").agg(F.count("*").alias("n"), F.min("w").alias("lo"), F.max("w").alias("hi"))
     words = FILTER_BITS // 64
@@ -250,47 +253,79 @@ def _automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of()
 
 
-def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, w, copies, i, v): window i of each segment with its hash."""
-    hasher = Hasher()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            a, w, copies = (part.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            v = [hasher.windows(hasher.words(x)[2], WINDOW) for x in column_values(part.column(3))]
-            n = np.array([len(x) for x in v])
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            arrays = [*(pa.array(np.repeat(x, n)) for x in (a, w, copies)), pa.array(inside), _signed(np.concatenate(v))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["a", "w", "copies", "i", "v"])
+def _cut(run: int):
+    """Cuts segments (a, w, copies, words) into pieces (pa, pw, lo, a, copies, words) of up to run windows that have the 36 - run words in common by which they are dealt.
+
+    pa and pw name the segment, lo is the piece's first window in it, a the new key.  Which windows make up
+    a piece depends on the distance from the anchor, so that equal windows have equal keys.
+    """
+    names = ["pa", "pw", "lo", "a", "copies", "words"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                out: list[tuple] = []
+                for a, w, copies, data in zip(*(column_values(c.slice(at, 2000)) for c in batch.columns), strict=True):
+                    words = data.split()
+                    hashes = hasher.words(data)[2]
+                    anchor = int(np.argmin(hasher.windows(hashes, GRAM)))
+                    cores = hasher.windows(hashes, WINDOW + 1 - run)
+                    n = len(words) - WINDOW + 1
+                    for block in range(max(0, anchor - n + 1) // run, anchor // run + 1):
+                        low, high = max(0, anchor - (block + 1) * run + 1), min(n - 1, anchor - block * run)
+                        key = int(mix64(cores[anchor - block * run : anchor - block * run + 1] + np.uint64(block))[0].view(np.int64))
+                        out.append((a, w, low, key, copies, b" ".join(words[low : high + WINDOW])))
+                if out:
+                    *numbers, pieces = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array(pieces, pa.binary())], names=names)
+
+    return cut
+
+
+def _masks(scratch: Scratch, segments: DataFrame, level: int = 0) -> DataFrame:
+    """(a, w, mask) of the segments (a, w, copies, windows, words), which are unlike each other; bit i of mask: window i occurs in another one or another copy.
+
+    Segments of a key make a reference shard: its automaton has to be matched with the
+    shard's own segments only, as equal windows have equal keys.  A key of one kind of segment needs none.
+    Shards of more than FULL segments are cut into pieces with longer keys, which part the segments
+    that have no more than the key in common; like pieces are counted, and the shards they make are solved in the same way.
+    """
+    width_ = width(scratch.spark)
+    stats = scratch.write(f"stats{level}", segments.groupBy("a").agg(F.count("*").alias("unlike"), F.sum("copies").alias("n")).where("n > 1"))
+    stats = stats.select(F.col("a").alias("sa"), "unlike")
+    shards = scratch.write(f"shards{level}", segments.join(stats, F.col("a") == F.col("sa")).drop("sa"))
+    alike = shards.where("unlike = 1").select("a", "w", F.expr("shiftleft(1L, cast(windows as int)) - 1").alias("mask"))
+    last = level + 1 == len(RUNS)
+    own = shards.where("unlike > 1" if last else f"unlike between 2 and {FULL}").select("a", "w", "copies", "words")
+    solved = own.repartition(width_, "a").sortWithinPartitions("a").mapInArrow(_automata, "a bigint, w bigint, mask bigint")
+    out = alike.unionByName(solved)
+    full = shards.where(f"unlike > {FULL}").select("a", "w", "copies", "words")
+    if last or full.isEmpty():
+        return scratch.write(f"masks{level}", out)
+    made = full.repartition(width_).mapInArrow(_cut(RUNS[level + 1]), "pa bigint, pw bigint, lo bigint, a bigint, copies bigint, words binary")
+    pieces = scratch.write(f"pieces{level}", made.withColumn("w", F.xxhash64("words")))
+    counted = pieces.groupBy("a", "w", "words").agg(F.sum("copies").alias("copies"))
+    windows = F.size(F.split(F.decode("words", "ISO-8859-1"), " ")) - F.lit(WINDOW - 1)
+    found = _masks(scratch, scratch.write(f"segments{level + 1}", counted.withColumn("windows", windows)), level + 1)
+    found = found.select(F.col("a").alias("sa"), F.col("w").alias("sw"), "mask")
+    back = pieces.join(found, (F.col("a") == F.col("sa")) & (F.col("w") == F.col("sw")))
+    back = back.groupBy("pa", "pw").agg(F.bit_or(F.expr("shiftleft(mask, cast(lo as int))")).alias("mask"))
+    return scratch.write(f"masks{level}", out.unionByName(back.select(F.col("pa").alias("a"), F.col("pw").alias("w"), "mask")))
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """(k, h, start, mask): bit i of mask says that the window from word start + i on starts somewhere else too.
 
-    Like segments are counted first.  An anchor's unlike segments make a
-    reference shard: its automaton has to be matched with the shard's own
-    segments only, as equal windows have equal anchors.  If an anchor has more than HOT unlike
-    segments, these are cut into single windows, counted by hash (of anchor
-    and window, 128 bits), so that they needn't meet in one task.
+    Like segments are counted first, by two hashes of 64 bits; unlike ones go to the automata of _masks().
     """
-    spark = rows.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(rows.sparkSession)
     found = scratch.write("found", candidates(rows))
     segments = scratch.write("segments", found.groupBy("a", "w").agg(F.count("*").alias("copies"), F.max("windows").alias("windows"), F.max("words").alias("words")))
-    stats = scratch.write("stats", segments.groupBy("a").agg(F.count("*").alias("unlike"), F.sum("copies").alias("n")).where("n > 1"))
-    stats = stats.select(F.col("a").alias("sa"), "unlike")
-    shards = scratch.write("shards", segments.join(stats, F.col("a") == F.col("sa")).drop("sa"))
-    alike = shards.where("unlike = 1").select("a", "w", F.expr("shiftleft(1L, cast(windows as int)) - 1").alias("mask"))
-    own = shards.where(f"unlike between 2 and {HOT}").select("a", "w", "copies", "words")
-    solved = own.repartition(width(spark), "a").sortWithinPartitions("a").mapInArrow(_automata, "a bigint, w bigint, mask bigint")
-    single = shards.where(f"unlike > {HOT}").select("a", "w", "copies", "words").mapInArrow(_single_windows, "a bigint, w bigint, copies bigint, i bigint, v bigint")
-    often = scratch.write("often", single.groupBy("a", "v").agg(F.sum("copies").alias("n")).where("n > 1").select(F.col("a").alias("sa"), F.col("v").alias("sv")))
-    hot = single.join(often, (F.col("a") == F.col("sa")) & (F.col("v") == F.col("sv"))).groupBy("a", "w").agg(F.bit_or(F.expr("shiftleft(1L, cast(i as int))")).alias("mask"))
-    masks = scratch.write("masks", alike.unionByName(solved).unionByName(hot)).select(F.col("a").alias("sa"), F.col("w").alias("sw"), "mask")
-    scratch.drop("segments", "stats", "shards", "often")
+    masks = _masks(scratch, segments).select(F.col("a").alias("sa"), F.col("w").alias("sw"), "mask")
     places = found.join(masks, (F.col("a") == F.col("sa")) & (F.col("w") == F.col("sw"))).select("k", "h", "start", "mask")
     out = scratch.write("places", places)
-    scratch.drop("found", "masks")
+    scratch.keep_only("places")
     return out
 
 
@@ -334,39 +369,54 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return both.mapInArrow(run, f"doc_id {id_type(docs, id_col)}, n_words bigint, n_removed bigint, kept string")
 
 
-def remove_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_words: int = 2_000_000, shards: int = 8) -> DataFrame:
+def _rounds(reference: DataFrame, window: int, shard_words: int, shards: int) -> Iterator[list[SuffixAutomaton]]:
+    """Closed automata of the reference's texts, at most shards of them at once, each of shard_words words or a little more.
+
+    Texts come to the driver one by one and are cut into slices that share window - 1 words, so that no window is lost.
+    """
+    step = max(1, shard_words - window + 1)
+    made, held = [SuffixAutomaton()], 0
+    for row in reference.select("text").distinct().toLocalIterator():
+        words = utf8(row.text).split()
+        for at in range(0, max(1, len(words) - window + 1), step):
+            part = words[at : at + step + window - 1]
+            if held and held + len(part) > shard_words:
+                if len(made) == shards:
+                    yield [a.close() for a in made]
+                    made = []
+                made.append(SuffixAutomaton())
+                held = 0
+            made[-1].add(part)
+            held += len(part)
+    if held:
+        yield [a.close() for a in made]
+
+
+def remove_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", shard_words: int = 100_000, shards: int = 4) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row of docs: its words outside of any run of window words or more of a reference text.
 
     reference is a column text.  Its suffix automata, one for each shard of
     shard_words words, are broadcast, and documents are streamed for matching
-    statistics.  The reference may have shard_words * shards words at most,
-    else ValueError: what is broadcast is bounded.  Null texts have no words.
+    statistics.  What is broadcast at once is bounded by shards * shard_words words; a larger reference takes
+    several rounds, between which the places found are written.  Null and empty texts have no words, on either side;
+    repeated rows of docs give repeated rows, those of reference count once.  An
+    empty reference removes nothing, an empty table gives none.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    bound = shard_words * shards
-    size = reference.agg(F.sum(F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "[\\x20\\x09-\\x0D]+")))).first()[0] or 0
-    if size > bound + reference.count():
-        raise ValueError(f"the reference has about {size} words; {bound} can be broadcast")
-    automata, held = [SuffixAutomaton()], 0
-    for row in reference.select("text").distinct().toLocalIterator():
-        words = utf8(row.text).split()
-        if held and held + len(words) > shard_words:
-            automata.append(SuffixAutomaton())
-            held = 0
-        automata[-1].add(words)
-        held += len(words)
-    shared = [spark.sparkContext.broadcast(a.close()) for a in automata]
+    scratch = Scratch(spark)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast("binary").alias("gone"))
+    schema = rows.schema
+    for k, automata in enumerate(_rounds(reference, window, shard_words, shards)):
+        if k:
+            rows = scratch.write(f"round{k}", rows)
+        rows = rows.mapInArrow(_marked([spark.sparkContext.broadcast(a) for a in automata], window), schema)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             ns, removed, kept = [], [], []
-            for text in column_values(batch.column(1), 64):
+            for text, bits in zip(column_values(batch.column(1), 64), column_values(batch.column(2), 64), strict=True):
                 words = utf8(text).split()
-                gone = np.zeros(len(words), bool)
-                for a in shared:
-                    ends = [(k + 1 - n, n) for k, n in enumerate(a.value.matches(words)) if n >= window]
-                    for s, n in ends:
-                        gone[s : s + n] = True
+                gone = _bits(bits, len(words))
                 left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 ns.append(len(words))
                 removed.append(len(words) - len(left))
@@ -374,10 +424,56 @@ def remove_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW
             columns = [batch.column(0), pa.array(ns, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
 
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, f"doc_id {id_type(docs, id_col)}, n_words bigint, n_removed bigint, kept string")
+    return rows.mapInArrow(run, f"doc_id {id_type(docs, id_col)}, n_words bigint, n_removed bigint, kept string")
+
+
+def _bits(packed: bytes | None, n: int) -> np.ndarray:
+    """n flags out of their bytes; none are set without bytes."""
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool) if packed else np.zeros(n, bool)
+
+
+def _marked(automata: list, window: int):
+    """Adds to gone, a bit for each word, the words in runs of window or more in any of the broadcast automata."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, marks = batch.slice(at, 256), []
+                for text, bits in zip(column_values(part.column(1), 64), column_values(part.column(2), 64), strict=True):
+                    words = utf8(text).split()
+                    gone = _bits(bits, len(words))
+                    for a in automata:
+                        ends = np.array(a.value.matches(words), np.int64)
+                        last = np.flatnonzero(ends >= window)
+                        gone |= covered(last + 1 - window, window, len(words))
+                    marks.append(np.packbits(gone).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(marks, pa.binary())], names=["doc_id", "text", "gone"])
+
+    return run
 
 
 def op5_substrings(spark, sf_dir: str) -> DataFrame:
+    """dedup() of all documents, with the hash of the words kept: null and empty texts have none of them, repeated rows are occurrences of their own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def substrings_reference(spark, sf_dir: str) -> DataFrame:
+    """remove_reference() of all documents against the benchmark's texts, for windows of 13 words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return remove_reference(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), REFERENCE_WINDOW)
+
+
+#: Words of a run of a reference text from which it is removed in substrings_reference.
+REFERENCE_WINDOW = 13
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_STARTS = f"generate_series(1, len(w) - {REFERENCE_WINDOW - 1})"
+REFERENCE_SQL = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents),
+b as (select {_WORDS} as w from benchmark),
+g as (select distinct list_slice(w, i, i + {REFERENCE_WINDOW - 1}) as gram from (select w, unnest({_STARTS}) as i from b)),
+h as (select r, i from (select r, i, list_slice(w, i, i + {REFERENCE_WINDOW - 1}) as gram from (select r, w, unnest({_STARTS}) as i from d)) join g using (gram)),
+gone as (select r, list(distinct i + j) as at from h cross join generate_series(0, {REFERENCE_WINDOW - 1}) as s(j) group by r),
+k as (select doc_id, w, coalesce(at, []::bigint[]) as at from d left join gone using (r))
+select doc_id, len(w) as n_words, len(at) as n_removed, array_to_string(list_filter(w, lambda x, i: not list_contains(at, i)), ' ') as kept from k
+"""

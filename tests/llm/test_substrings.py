@@ -61,9 +61,9 @@ def planted(seed=4, n=60):
     return texts
 
 
-@pytest.mark.parametrize("hot", [1000, 100, 1])
-def test_dedup(spark, monkeypatch, hot):
-    monkeypatch.setattr(S, "HOT", hot)
+@pytest.mark.parametrize("full", [1000, 5, 1])
+def test_dedup(spark, monkeypatch, full):
+    monkeypatch.setattr(S, "FULL", full)
     texts = planted()
     df = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id bigint, text string, kept string").repartition(5)
     got = {r.doc_id: r for r in S.dedup(df).collect()}
@@ -86,8 +86,48 @@ def test_reference(spark):
     docs = spark.createDataFrame([(1, "q a b c r"), (2, "b c d e b c"), (3, "x y a b"), (4, None)], "doc_id bigint, text string")
     got = {r.doc_id: r.kept for r in S.remove_reference(docs, reference, window=3).collect()}
     assert got == {1: "q r", 2: "b c", 3: "x y a b", 4: ""}
-    with pytest.raises(ValueError):
-        S.remove_reference(docs, reference, window=3, shard_words=1, shards=1)
+    for shard_words, shards in ((4, 1), (3, 2), (1, 1)):  # as many rounds as it takes
+        small = S.remove_reference(docs, reference, window=3, shard_words=shard_words, shards=shards)
+        assert {r.doc_id: r.kept for r in small.collect()} == got
+    nothing = reference.where("false")
+    assert {r.doc_id: r.n_removed for r in S.remove_reference(docs, nothing, window=3).collect()} == dict.fromkeys(range(1, 5), 0)
+    assert S.remove_reference(docs.where("false"), reference, window=3).count() == 0
+
+
+def test_reference_odd_rows(spark):
+    rows = [(None, "a b c", 1), (5, "", 2), (5, None, 3), (7, "a b c d", 4), (7, "a b c d", 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, gone int")
+    got = sorted(((r.doc_id or 0), r.n_words, r.n_removed, r.kept) for r in S.remove_reference(docs, spark.createDataFrame([("b c d",), ("b c d",)], "text string"), window=3).collect())
+    assert got == [(0, 3, 0, "a b c"), (5, 0, 0, ""), (5, 0, 0, ""), (7, 4, 3, "a"), (7, 4, 3, "a")]
+
+
+@pytest.mark.parametrize("run", [7, 1])
+def test_equal_windows_have_equal_keys(run):
+    """Every window of a segment is in one piece, and all places of a window have one key."""
+    import pyarrow as pa
+
+    rng = random.Random(run)
+    passage = [f"p{k}" for k in range(90)]
+    keys: dict[tuple, set] = {}
+    for k in range(40):
+        a = rng.randrange(0, 50)
+        words = [*(f"l{k}.{i}" for i in range(rng.randrange(0, 40))), *passage[a : a + rng.randrange(20, 90)], *(f"r{k}.{i}" for i in range(rng.randrange(0, 40)))]
+        hasher = S.Hasher()
+        start, windows, anchor, w = S.anchors(hasher.words(" ".join(words).encode())[2], hasher)
+        for s, n, an in zip(start.tolist(), windows.tolist(), anchor.tolist(), strict=True):
+            data = " ".join(words[s : s + n + 34]).encode()
+            batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([1]), pa.array([data])], names=["a", "w", "copies", "words"])
+            seen = []
+            for out in S._cut(run)([batch]):
+                for r in out.to_pylist():
+                    piece = r["words"].split()
+                    assert len(piece) - 34 <= run
+                    for i in range(len(piece) - 34):
+                        seen.append(r["lo"] + i)
+                        keys.setdefault(tuple(piece[i : i + 35]), set()).add((an, r["a"]))
+                        assert piece[i : i + 35] == data.split()[r["lo"] + i : r["lo"] + i + 35]
+            assert sorted(seen) == list(range(n))
+    assert len(keys) > 500 and all(len(x) == 1 for x in keys.values())
 
 
 def test_query(spark, data):
