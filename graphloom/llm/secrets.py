@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,13 +21,29 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _HEX_MARK = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 
-_SIGN = re.compile(r"=>|:=|(?<![=!<>:])=(?![=>~])|:(?![:/=])")
-#: An assigned name and what may stand between it and its sign, read backwards from the sign.
-_EMAN = re.compile(r"""[ \t]*(?:\w*[A-Za-z_][ \t]*:[ \t]*)?(?:\]["']?|["'])?((?:\w+[.\-])*\w*[A-Za-z_])""", re.A)
-_GAP = re.compile(r"[ \t]*")
-_PLUS = re.compile(r"[ \t]*\+[ \t]*")
-_QUOTED = re.compile(r"""(?:[rbuRBU]{0,2})("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)""")
-_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
+#: What the lexer stops at: names, and the signs that assign; ">" does after a tag's name.
+_LEX = re.compile(r"(?P<name>[A-Za-z_]\w*(?:[.\-]\w+)*)|(?P<sign>=>|:=|(?<![=!<>:])=(?![=>~])|(?<!:):(?![:/=])|(?<=\w)>(?=[^\s<>=]))", re.A)
+#: What may stand between a name and its sign: the end of a quoted key or of a subscript, blanks, and a sign that appends or defaults.
+_BETWEEN = re.compile(r"""\\*["'`]?\]?[ \t]*[+?|&]{0,2}""")
+_TYPE = re.compile(r"[\w \t.,|\[\]?&<>*]*", re.A)
+_GAP = re.compile(r"[ \t]*+")
+_PLUS = re.compile(r"[ \t]*+\+[ \t]*+(?:\n[ \t]*+)?")
+_BESIDE = re.compile(r"""[ \t]++(?=["'])""")
+_OPENING = re.compile(r"""(?:[rbufRBUF]{0,2})(\\*)(\"{3}|'{3}|["'`])""")
+_CLOSING = {
+    '"' * 3: re.compile(r'(?s)[^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+'),
+    "'" * 3: re.compile(r"(?s)[^'\\]*+(?:(?:\\.|'(?!''))[^'\\]*+)*+"),
+    '"': re.compile(r'[^"\\\n]*+(?:\\(?s:.)[^"\\\n]*+)*+'),
+    "'": re.compile(r"[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+"),
+    "`": re.compile(r"(?s)[^`\\]*+(?:\\.[^`\\]*+)*+"),
+}
+_ESCAPE = re.compile(r"(?s)\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|(.))")
+_CONTROL = {"n": "\n", "t": "\t", "r": "\r", "\n": ""}
+_BLOCK = re.compile(r"[ \t]*+[|>][+\-0-9]{0,2}[ \t]*+(?:#[^\n]*+)?\n")
+_LINE = re.compile(r"([ \t]*+)([^\n]*+)\n?")
+_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++""")
+#: A value within a bare one, as in a query string, ends before the next such value.
+_INNER = re.compile(r"""[^\s"'`,;(){}\[\]<>=&?]++""")
 _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*", re.A)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -49,16 +66,12 @@ def name_score(name: str) -> float:
     return max(SENSITIVE.get(p, 0.0) for p in [*parts, *(" ".join(z) for z in zip(parts, parts[1:], strict=False))])
 
 
-def literal_score(value: str) -> float:
-    """How much a literal looks like a secret, 0 to 1: its entropy, length and kinds of characters."""
-    if len(value) < 8 or _DUMMY.match(value) or not value.isprintable():
-        return 0.0
-    counts = Counter(value)
+def _worth(counts: dict[str, float], size: float, spaces: float) -> float:
+    """How much characters that often look like a secret, 0 to 1: their entropy, number and kinds."""
     total = sum(counts.values())
     entropy = -sum(c / total * math.log2(c / total) for c in counts.values())
     kinds = sum(any(f(c) for c in counts) for f in (str.isdigit, str.islower, str.isupper, lambda c: not c.isalnum()))
-    spaces = value.count(" ")
-    score = min(1.0, entropy / 3.5) * min(1.0, len(value) / 10)
+    score = min(1.0, entropy / 3.5) * min(1.0, size / 10)
     if kinds == 1:
         score *= 0.5
     if spaces:
@@ -66,6 +79,166 @@ def literal_score(value: str) -> float:
     return score
 
 
+class Value:
+    """A literal of a text, or a sum of values; a sum holds its parts' counts of characters, not their text."""
+
+    def __init__(self, start: int = 0, end: int = 0, said: str = "", parts: tuple = ()):
+        self.start, self.end, self.said, self.parts = start, end, said, parts
+        self.counts: dict[str, float] | None = None
+        self.marked = False
+        if parts:
+            self.counts = Counter()
+            for p in parts:
+                for c, n in p.measured().items():
+                    self.counts[c] += n
+            self.size, self.spaces = sum(p.size for p in parts), sum(p.spaces for p in parts)
+            self.plain = all(p.plain for p in parts)
+            self.dummy = all(p.dummy for p in parts)
+            if self.size > 1e9:  # sums of sums may double each time; shares are all that counts by then
+                self.counts = {c: n / self.size * 1e6 for c, n in self.counts.items()}
+                self.size, self.spaces = 1e6, self.spaces / self.size * 1e6
+
+    def measured(self) -> dict[str, float]:
+        if self.counts is None:
+            self.counts = Counter(self.said)
+            self.size, self.spaces = float(len(self.said)), float(self.counts[" "])
+            self.plain, self.dummy = self.said.isprintable(), bool(_DUMMY.match(self.said))
+        return self.counts
+
+    def score(self) -> float:
+        counts = self.measured()
+        return 0.0 if self.size < 8 or self.dummy or not self.plain else _worth(counts, self.size, self.spaces)
+
+    def mark(self) -> Iterator[tuple[int, int]]:
+        """Spans of the literals in it that no mark() gave before."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if v.marked:
+                continue
+            v.marked = True
+            todo += v.parts
+            if v.end > v.start:
+                yield v.start, v.end
+
+
+def literal_score(value: str) -> float:
+    """How much a literal looks like a secret, 0 to 1: its entropy, length and kinds of characters."""
+    return Value(said=value).score()
+
+
+class Lexer:
+    """A text's assignments in order, in one pass: pairs() gives each name with the terms of its value.
+
+    Strings have one of the quotes of common languages, single or triple, with escapes or within an escaped string; bare
+    values end at a blank or bracket; a YAML block is a literal.  Strings and comments are read
+    inside too, as secrets stand there as well.  A quote that isn't closed (on its line, if single) opens
+    no string.  Each character is read a bounded number of times: what isn't closed is noted, and a bare
+    value within a bare value, as in query strings, ends before the next.
+    """
+
+    def __init__(self, text: str, known: Container[str] = ()):
+        self.text, self.known = text, known
+        self.open: dict[str, int] = {}  # up to where a quote is known not to be closed
+
+    def string(self, pos: int) -> tuple[Value, int] | None:
+        m = _OPENING.match(self.text, pos)
+        if not m:
+            return None
+        text, escaped, quote, at = self.text, m[1], m[2], m.end()
+        mark = escaped + quote
+        if at <= self.open.get(mark, -1):
+            return None
+        if escaped:
+            end, line = text.find(mark, at), text.find("\n", at)
+            closed = end >= 0 and (line < 0 or end < line)
+        else:
+            end = _CLOSING[quote].match(text, at).end()
+            closed = text.startswith(quote, end)
+        if not closed:
+            line = text.find("\n", at) if len(quote) == 1 and quote != "`" else -1
+            self.open[mark] = len(text) if line < 0 else line
+            return None
+        said = text[at:end]
+        if "\\" in said:
+            said = _ESCAPE.sub(lambda e: chr(int(e[1] or e[2], 16)) if e[1] or e[2] else _CONTROL.get(e[3], e[3]), said)
+        if len(quote) == 3 or quote == "`":
+            said = "".join(x.strip() for x in said.splitlines())
+        return Value(at, end, said), end + len(mark)
+
+    def block(self, pos: int, key: int) -> Value | None:
+        """The indented lines behind a key's "|" or ">"."""
+        m = _BLOCK.match(self.text, pos)
+        if not m:
+            return None
+        line = self.text.rfind("\n", 0, key) + 1
+        indent = _GAP.match(self.text, line).end() - line
+        at, first, last, said = m.end(), None, None, []
+        while at < len(self.text):
+            x = _LINE.match(self.text, at)
+            if x[2] and len(x[1]) <= indent:
+                break
+            if x[2]:
+                first = x.start(2) if first is None else first
+                last = x.end(2)
+                said.append(x[2].rstrip())
+            at = x.end()
+        return Value(first, last, "".join(said)) if said else None
+
+    def pairs(self) -> Iterator[tuple[str, list[Value | str]]]:
+        """(name, terms): literals, and the bare words that stand in the value, which may be names; a bare word's literal follows it."""
+        text = self.text
+        key = typed = None  # ends of the last name, and of the one before a colon, whose type it may be
+        held: tuple[str, list[Value | str]] | None = None  # what stands behind a colon, unless it turns out to be a type
+        outer = inner = -1
+        for m in _LEX.finditer(text):
+            if m.lastgroup == "name":
+                key = m.span()
+                continue
+            at, sign, name = m.start(), m[0], key
+            key = None
+            if sign == "=" and typed and _TYPE.fullmatch(text, typed[1], at):
+                name, held = typed[0], None
+            elif not name or at < inner or not _BETWEEN.fullmatch(text, name[1], at) or sign == ">" and text[name[0] - 1 : name[0]] != "<":
+                continue
+            if held:
+                yield held
+                held = None
+            typed = (name, m.end()) if sign == ":" else None
+            pos = _GAP.match(text, m.end()).end()
+            if sign == ":" and (block := self.block(pos, name[0])):
+                yield text[name[0] : name[1]], [block]
+                continue
+            terms: list[Value | str] = []
+            while True:
+                if got := self.string(pos):
+                    terms.append(got[0])
+                    pos = got[1]
+                elif b := (_INNER if pos < outer else _BARE).match(text, pos):
+                    stop, last = b.end(), b[0].rfind("+")
+                    if last >= 0 and (after := _GAP.match(text, b.start() + last + 1).end()) and (self.string(after) or after > stop and (i := _IDENT.match(text, after)) and i[0] in self.known):
+                        stop = b.start() + last  # a sum goes on behind it
+                    if pos < outer:
+                        inner = stop
+                    else:
+                        outer = stop
+                    word = text[b.start() : stop].rstrip(".:!?")
+                    terms += [word, Value(b.start(), b.start() + len(word), word)]
+                    pos = stop
+                else:
+                    break
+                more = _PLUS.match(text, pos) or _BESIDE.match(text, pos)
+                if not more:
+                    break
+                pos = more.end()
+            if terms and typed:
+                held = (text[name[0] : name[1]], terms)
+            elif terms:
+                yield text[name[0] : name[1]], terms
+        if held:
+            yield held
+
+
 def lexed(text: str, threshold: float = 0.6) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly, through other names or as parts of a sum.
 
@@ -74,55 +247,45 @@ def lexed(text: str, threshold: float = 0.6) -> list[tuple[int, int]]:
     through plus signs without space around them, as those of base64; it is a
     sum where its parts are known names or a literal in quotes follows.
     """
-    known: dict[str, list[tuple[int, int, str]]] = {}
-    back = text[::-1]
-    found: set[tuple[int, int]] = set()
-    for sign in _SIGN.finditer(text):
-        at = sign.start()
-        left = _EMAN.match(back, len(text) - at)
-        if not left:
-            continue
-        name, pos = left[1][::-1], _GAP.match(text, sign.end()).end()
-        literals: list[tuple[int, int, str]] = []
-        whole: list[tuple[int, int, str]] = []  # a bare value of which only some parts are known names
-        seen: set[tuple[int, int, str]] = set()
-        while True:
-            if q := _QUOTED.match(text, pos):
-                literals.append((q.start(1) + 1, q.end(1) - 1, q[1][1:-1]))
-                seen.add(literals[-1])
-                pos = q.end()
-            elif b := _BARE.match(text, pos):
-                stop, last = b.end(), b[0].rfind("+")
-                if last >= 0:
-                    after = _GAP.match(text, b.start() + last + 1).end()
-                    name_after = _IDENT.match(text, after) if after > stop else None
-                    if _QUOTED.match(text, after) or name_after and name_after[0] in known:
-                        stop = b.start() + last
-                word = text[b.start() : stop].rstrip(".:!?")
-                parts, first = word.split("+"), not literals
-                names = [x for x in parts if _IDENT.fullmatch(x) and x in known]
-                for x in names:
-                    # Sums of sums may double each time: literals of long ones count once.
-                    long = len(literals) + len(known[x]) > 64
-                    literals += [y for y in dict.fromkeys(known[x]) if y not in seen] if long else known[x]
-                    seen.update(known[x])
-                if first and word and len(names) < len(parts):
-                    (whole if names else literals).append((b.start(), b.start() + len(word), word))
-                pos = stop
+    known: dict[str, Value] = {}
+    found: list[tuple[int, int]] = []
+    for name, terms in Lexer(text, known).pairs():
+        literals: list[Value] = []
+        whole: list[Value] = []  # a bare value of which only some parts are known names
+        word = None
+        for t in terms:
+            if isinstance(t, str):
+                parts = t.split("+")
+                names = [x for x in parts if x in known and _IDENT.fullmatch(x)]
+                word = (not literals and bool(t) and len(names) < len(parts), bool(names))
+                literals += [known[x] for x in names]
+            elif word is None:
+                literals.append(t)
             else:
-                break
-            plus = _PLUS.match(text, pos)
-            if not plus:
-                break
-            pos = plus.end()
-        if not literals:
+                if word[0]:
+                    (whole if word[1] else literals).append(t)
+                word = None
+        values = [next(iter(p)) if len(p) == 1 else Value(parts=p) for some in (literals, whole) if (p := tuple(dict.fromkeys(some)))]
+        if not values:
             continue
-        known[name] = literals + whole
+        known[name] = values[0] if len(values) == 1 else Value(parts=tuple(values))
         score = name_score(name)
-        for some in (literals, whole) if score else ():
-            if score * literal_score("".join(x for *_, x in some)) >= threshold:
-                found.update((a, b) for a, b, _ in some if b > a)
-    return sorted(found)
+        for v in values if score else ():
+            if score * v.score() >= threshold:
+                found += v.mark()
+    return sorted(set(found))
+
+
+def _outside(spans: list[tuple[int, int]], base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that lie in none of base; both sorted."""
+    out, k, reach = [], 0, -1
+    for a, b in spans:
+        while k < len(base) and base[k][0] <= a:
+            reach = max(reach, base[k][1])
+            k += 1
+        if b > reach:
+            out.append((a, b))
+    return out
 
 
 def scan(text: str | None) -> list[tuple[int, int, int, int]]:
@@ -138,8 +301,7 @@ def scan(text: str | None) -> list[tuple[int, int, int, int]]:
     if b"1" * 32 in text.encode("utf-8", "surrogatepass").translate(_HEX_MARK):
         spans += [(m.start(), 2, m.end(), m.start()) for m in _HEX.finditer(text)]
     if signs:
-        base = [(a, b) for a, _, b, _ in spans]
-        spans += [(a, 3, b, a) for a, b in lexed(text) if not any(x <= a and b <= y for x, y in base)]
+        spans += [(a, 3, b, a) for a, b in _outside(lexed(text), sorted((a, b) for a, _, b, _ in spans))]
     return sorted(spans)
 
 
@@ -189,6 +351,8 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def redact_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the secrets of its texts replaced by a mark; all rows and other columns stay as they are.
 
+    Null and empty texts stay so; an empty table gives none; repeated rows are
+    treated alike; other columns may have any name.
     A column of characters counted from the text (n_chars), if docs has one, is counted anew.
     """
     others = [c for c in docs.columns if c != text_col]
@@ -205,4 +369,5 @@ def redact_column(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
+    """scan_documents() of all documents: null and empty texts have no spans, repeated rows give repeated rows."""
     return scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import time
+
+import slow_lexer
 
 from graphloom.llm import secrets as S
 
@@ -85,3 +89,42 @@ def test_nulls_and_clashing_columns(spark):
     assert out.schema == docs.schema
     assert [r.text for r in out.where("doc_id is null").collect()] == ["password=[SECRET]"]
     assert S.scan_documents(docs.limit(0)).count() == 0
+
+
+_FRAGMENTS = ["pwd", "secret_key", "a", "k", "client-secret", "x.token", " = ", "=", ": ", ":", "+", " + ", '"', "'", "`", '"""', "\\", '\\"', "q9Xw2Lr7Tz", "aB3/x9", "\n", "\n  ", "\t", " ", "|\n", "&", "?",
+              "<", ">", "[", "]", "str", "#", "//", ";", ",", "=>", ":=", "==", "changeme", "\\u0041", "é", ".", "-", "1", "{", "}", ' "r7TzPP"']
+
+
+def test_spans_like_a_slow_reading(spark, data):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(_FRAGMENTS) for _ in range(rng.randrange(1, 26))) for _ in range(6000)]
+    for text in texts:
+        assert S.lexed(text) == slow_lexer.lexed(text), text
+    got = {r.doc_id: r.spans for r in S.op10_secrets(spark, data).collect()}
+    for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect():
+        want = brute(r.text)
+        want += [(a, 3, b) for a, b in slow_lexer.lexed(r.text or "") if not any(x <= a and b <= y for x, _, y in want)]
+        assert got[r.doc_id] == ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in sorted(want))
+
+
+def test_syntaxes():
+    one = "q9Xw2Lr7Tz"
+    for text in [f'client_secret: str = "{one}"', f"config['pwd'] = '{one}'", f"<pwd>{one}</pwd>", f"u=https://h/?x=1&pwd={one}&y=2", '"{\\"pwd\\": \\"' + one + '\\"}"', f'pwd += "{one}"', f"// don't pwd = {one} it's",
+                 f"export A=x PWD={one}", f"pwd: >\n  {one}\nnext: 5", f'pwd = """\n  {one}"""', f"pwd := `{one}`", f'{{"db pwd" : "{one}"}}', f"# pwd: {one}", f"x: Optional[str] = None\npwd: Optional[str] = '{one}'"]:
+        assert [text[a:b].strip() for a, b in S.lexed(text)] == [one], text
+    text = 'pwd = "q9Xw" +\n   "2Lr7Tz"'
+    assert [text[a:b] for a, b in S.lexed(text)] == ["q9Xw", "2Lr7Tz"]
+    text = "private_key: |\n  q9Xw2L\n\n  r7TzPP\nnext: 5"
+    assert [text[a:b] for a, b in S.lexed(text)] == ["q9Xw2L\n\n  r7TzPP"]
+    assert S.lexed('title: "q9Xw2Lr7Tz"\nx = "pwd"') == []
+
+
+def test_time_grows_with_the_text():
+    for unit in ["password=abcdefgh1\n", "k=v&", "token=", "token:", '="\\', 'a="x"+', 'a = a + "q9Xw"\n', "pwd = pwd + pwd2\npwd2 = pwd2 + pwd\n", '"""=', "x='", "x=`", "a: |\n ", "pwd=q9X+", "token=a ", "secret \t"]:
+        took = []
+        for n in (50_000, 400_000):
+            text = unit * (n // len(unit))
+            began = time.process_time()
+            S.scan(text)
+            took.append(time.process_time() - began)
+        assert took[1] < 3 or took[1] < 24 * took[0], (unit, took)
