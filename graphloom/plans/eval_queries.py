@@ -45,18 +45,17 @@ def _gold(g, key):
 
 def mrr_at_10(spark, sf_dir):
     results, g = _results(spark, sf_dir)
-    return E.mrr(_gold(g, F.concat(F.lit("d"), F.expr("node div 4"))).where("qid % 50 = 0"), E.parse_pages(results))
+    return E.mrr(_gold(g, F.concat(F.lit("d"), F.expr("node div 4"))), E.parse_pages(results))
 
 
 def recall_at_3(spark, sf_dir):
     results, g = _results(spark, sf_dir)
-    return E.recall(_gold(g, F.concat(F.lit("d"), F.expr("node div 4"))), E.parse_pages(results).where("qid % 75 <> 0"))
+    return E.recall(_gold(g, F.concat(F.lit("d"), F.expr("node div 4"))), E.parse_pages(results))
 
 
 def component_recall_mrr(spark, sf_dir):
     results, g = _results(spark, sf_dir)
-    run = E.parse_components(results).where("qid % 75 <> 0")
-    return E.component_metrics(_gold(g, F.concat(F.lit("p_"), F.col("node"))), run, 9, F.col("cid"))
+    return E.component_metrics(_gold(g, F.concat(F.lit("p_"), F.col("node"))), E.parse_components(results), 9, F.col("cid"))
 
 
 def page_recall_tolerance(spark, sf_dir):
@@ -75,12 +74,12 @@ def run_sweep(spark, sf_dir):
 
 
 def _said(spark, sf_dir):
-    """Model answers made of documents: fenced, marked, bare and broken ones."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 40).alias("t"), "lang", "source")
+    """Model answers made of documents' whole texts: fenced, marked, bare and broken ones."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("t"), "lang", "source")
     return docs.withColumn("t", F.regexp_replace("t", r"[^A-Za-z0-9 ]", ""))
 
 
-_T = "select doc_id, lang, source, regexp_replace(left(text, 40), '[^A-Za-z0-9 ]', '', 'g') as t from documents"
+_T = "select doc_id, lang, source, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', '', 'g') as t from documents"
 
 
 def modality_parse(spark, sf_dir):
@@ -150,9 +149,9 @@ ORACLES = {
     "parse_results_pages": f"{_NEAR} select * from page",
     "parse_results_baseline": f"""{_NEAR} select coalesce('q' || m.qid, n.qid::varchar) as qid, 'd' || (node // 20) as doc, 'd' || (node // 20) as page, ((r - 1) // 2 + 1)::int as rank
 from near n left join q m on m.qid + 25 = n.qid where r % 2 = 1""",
-    "mrr_at_10": f"{_NEAR}, h as (select p.qid, min(case when rank <= 10 and g.doc is not null then rank end) as r from page p left join (select distinct qid, 'd' || (node // 4) as doc from gold) g on g.qid = p.qid and g.doc = p.doc where p.qid % 50 = 0 group by p.qid) select avg(coalesce(1 / r, 0.0::double)) as mrr, count(*) as questions from h",
-    "recall_at_3": f"{_NEAR}, g as (select distinct qid, 'd' || (node // 4) as doc from gold), h as (select g.qid, count(p.doc) / count(*) as r from g left join page p on p.qid = g.qid and p.doc = g.doc and p.rank <= 3 where g.qid % 75 <> 0 group by g.qid) select avg(r) as recall, count(*) as questions from h",
-    "component_recall_mrr": f"{_NEAR}, g as (select qid, 'p_' || node as cid from gold), h as (select g.qid, count(c.cid) / count(*) as r, coalesce(1 / ceil(min(c.rank) / 3), 0.0) as rr from g left join comp c on c.qid = g.qid and c.cid = g.cid and c.rank <= 9 and c.qid % 75 <> 0 group by g.qid) select avg(r) as recall, avg(rr) as mrr, count(*) as questions from h",
+    "mrr_at_10": f"{_NEAR}, h as (select p.qid, min(case when rank <= 10 and g.doc is not null then rank end) as r from page p left join (select distinct qid, 'd' || (node // 4) as doc from gold) g on g.qid = p.qid and g.doc = p.doc group by p.qid) select avg(coalesce(1 / r, 0.0::double)) as mrr, count(*) as questions from h",
+    "recall_at_3": f"{_NEAR}, g as (select distinct qid, 'd' || (node // 4) as doc from gold), h as (select g.qid, count(p.doc) / count(*) as r from g left join page p on p.qid = g.qid and p.doc = g.doc and p.rank <= 3 group by g.qid) select avg(r) as recall, count(*) as questions from h",
+    "component_recall_mrr": f"{_NEAR}, g as (select qid, 'p_' || node as cid from gold), h as (select g.qid, count(c.cid) / count(*) as r, coalesce(1 / ceil(min(c.rank) / 3), 0.0) as rr from g left join comp c on c.qid = g.qid and c.cid = g.cid and c.rank <= 9 group by g.qid) select avg(r) as recall, avg(rr) as mrr, count(*) as questions from h",
     "page_recall_tolerance": f"{_G}, gold as (select distinct q.qid, e.top as node from (select node as qid, label from emb where node % 25 = 0) q join emb e on e.label = q.label), near as (select qid, node, row_number() over (partition by qid order by list_inner_product(q.vec, tops.vec) desc, node) as r from q, tops qualify r <= {K}), h as (select g.qid, coalesce(count(n.node) / nullif(count(case when g.node % 3 <> 0 then 1 end), 0), 0.0) as rec, coalesce(1 / min(n.r), 0.0) as rr from gold g left join near n on n.qid = g.qid and n.node = g.node and g.node % 3 <> 0 group by g.qid) select avg(rec) as recall, avg(rr) as mrr, count(*) as questions from h",
     "run_sweep": "select event_type as dataset, (user_id % 3)::int as iterations, (user_id % 5 + 1)::int as beam, avg((user_id % 7)::double) as score, avg(floor(value)::double) + case event_type when 'click' then 100.0 when 'view' then 50.0 else 0.0 end::double as ms from events group by event_type, user_id % 3, user_id % 5 + 1",
     "modality_parse": f"select doc_id, case when doc_id % 7 = 0 then 'text' when doc_id % 4 = 0 then 'table' when doc_id % 4 = 1 then 'image' when doc_id % 4 = 2 then 'text' when lower(trim(t)) like 'table%' then 'table' when lower(trim(t)) like 'image%' then 'image' else 'text' end as modality from ({_T})",
