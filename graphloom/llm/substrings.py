@@ -473,7 +473,7 @@ with d as (select row_number() over () as r, doc_id, {_WORDS} as w from document
 b as (select {_WORDS} as w from benchmark),
 g as (select distinct list_slice(w, i, i + {REFERENCE_WINDOW - 1}) as gram from (select w, unnest({_STARTS}) as i from b)),
 h as (select r, i from (select r, i, list_slice(w, i, i + {REFERENCE_WINDOW - 1}) as gram from (select r, w, unnest({_STARTS}) as i from d)) join g using (gram)),
-gone as (select r, list(distinct i + j) as at from h cross join generate_series(0, {REFERENCE_WINDOW - 1}) as s(j) group by r),
-k as (select doc_id, w, coalesce(at, []::bigint[]) as at from d left join gone using (r))
-select doc_id, len(w) as n_words, len(at) as n_removed, array_to_string(list_filter(w, lambda x, i: not list_contains(at, i)), ' ') as kept from k
+gone as (select r, list(distinct i + j) as places from h cross join generate_series(0, {REFERENCE_WINDOW - 1}) as s(j) group by r),
+k as (select doc_id, w, coalesce(places, []::bigint[]) as places from d left join gone using (r))
+select doc_id, len(w) as n_words, len(places) as n_removed, array_to_string(list_filter(w, lambda x, i: not list_contains(places, i)), ' ') as kept from k
 """
