@@ -10,14 +10,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def set_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's spark.checkpoint.dir; only where none is set, as in tests, a folder of our own."""
-    if spark.sparkContext.getCheckpointDir():
+    """Use the session's spark.checkpoint.dir; only where none is set and all runs in one process, as in tests, a folder of our own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-"))
+    if not shared and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -123,6 +127,13 @@ def id_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+def whole_id(df: DataFrame, name: str) -> None:
+    """TypeError if the column isn't one of whole numbers, which the least or the next of are asked for."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{name} has to be a column of whole numbers, not of {kind.simpleString()}")
+
+
 def uniform(seed: int, *columns) -> F.Column:
     """A number in [0, 1) from 48 bits of an MD5 sum: the same in every run, engine and partitioning."""
     key = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_values, id_type, width
+from .common import column_values, id_type, whole_id, width
 
 SPAN = 64  # bytes of a feature, and features that compete with each other
 POPULAR = 16  # wins that a feature needs
@@ -25,23 +25,23 @@ _counts = np.arange(SPAN + 1)
 #: -c log2 c in units of 1 / 4096 of a bit and window byte: entropies of windows add up as whole numbers.
 _PART = np.concatenate(([0], np.rint(-_counts[1:] * np.log2(_counts[1:]) * 64))).astype(np.int64)
 _ALL = int(SPAN * np.log2(SPAN) * 64)
-#: Entropies in bits of natural text's windows: where they lie and how widely. Rarer entropies rank first; windows of little entropy are left out.
-TYPICAL, SPREAD, LEAST = 3.7, 0.3, 2.0
+#: Windows of less entropy, in bits, are no features.
+LEAST = 2.0
+#: Levels of entropy to either side that are counted together, so that the rank of a level doesn't hang on few windows.
+NEAR = 32
 _NONE = np.int64(1) << 20
 
 
-def _ranks() -> np.ndarray:
-    """The rank of each entropy level, lower for levels that are less probable; _NONE for those left out."""
-    bits = np.arange(_ALL + 1) / (64 * SPAN)
-    z = np.abs(bits - TYPICAL) / SPREAD
-    rank = np.rint((40 - np.minimum(z, 40)) * 1000).astype(np.int64)
-    rank[bits < LEAST] = _NONE
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """The rank of each level of entropy, lower for levels that fewer of the counted windows have; _NONE for those left out."""
+    total = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts, dtype=np.int64)))
+    at = np.arange(_ALL + 1)
+    near = total[np.minimum(at + NEAR + 1, _ALL + 1)] - total[np.maximum(at - NEAR, 0)]
+    rank = np.rint(np.log2(1.0 + near) * 10_000).astype(np.int64)
+    rank[at < LEAST * 64 * SPAN] = _NONE
     return rank
 
 
-_RANK = _ranks()
-
-
 def entropies(buf: np.ndarray) -> np.ndarray:
     """The entropy of the SPAN bytes from each place on, in units of 1 / (64 * SPAN) bits.
 
@@ -65,24 +65,54 @@ def entropies(buf: np.ndarray) -> np.ndarray:
     return out + _ALL
 
 
-def selected(datas: list[bytes]) -> list[np.ndarray]:
-    """The places of each text's selected features, in order.
-
-    A feature is a window of SPAN bytes.  Of any SPAN features in a row (fewer
-    at a text's ends) the one of lowest rank, the leftmost of equals, wins;
-    features with POPULAR wins or more are selected.
-    """
+def _levels(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, length, level, own): texts one after the other with room between, the level of each window, and whether it lies within a text."""
     lengths = np.array([len(d) for d in datas], np.int64)
     begins = SPAN + np.cumsum(lengths) - lengths
     buf = np.frombuffer(bytes(SPAN) + b"".join(datas) + bytes(2 * SPAN), np.uint8)
     places = len(buf) - SPAN + 1
-    rank = _RANK[entropies(buf)]
     # Windows that run over a text's end are no features: SPAN - 1 of them part any two texts' features.
     inside = np.zeros(places + 1, np.int64)
     has = lengths >= SPAN
     inside[begins[has]] += 1
     np.subtract.at(inside, begins[has] + lengths[has] - SPAN + 1, 1)
-    rank[np.cumsum(inside[:places]) == 0] = _NONE
+    return begins, lengths, entropies(buf), np.cumsum(inside[:places]) > 0
+
+
+def measured(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """ranks() of the windows of all texts: how many of them have each level of entropy is counted in the tasks and added up.
+
+    What comes to the driver is one number for each level, some 24,600, whatever the input.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(_ALL + 1, np.int64)
+        for batch in batches:
+            texts = list(column_values(batch.column(0), 64))
+            texts = [t or "" for t in texts]
+            for at, size in _blocks(texts):
+                _, _, level, own = _levels([t.encode("utf-8", "surrogatepass") for t in texts[at : at + size]])
+                counts += np.bincount(level[own], minlength=_ALL + 1)
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(counts[there])], names=["level", "n"])
+
+    made = docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "level bigint, n bigint").groupBy("level").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(_ALL + 1, np.int64)
+    counts[made.column("level").to_numpy()] = made.column("n").to_numpy()
+    return ranks(counts)
+
+
+def selected(datas: list[bytes], rank_of: np.ndarray) -> list[np.ndarray]:
+    """The places of each text's selected features, in order.
+
+    A feature is a window of SPAN bytes.  Of any SPAN features in a row (fewer
+    at a text's ends) the one of lowest rank, the leftmost of equals, wins;
+    features with POPULAR wins or more are selected.
+    """
+    begins, lengths, level, own = _levels(datas)
+    places = len(level)
+    rank = rank_of[level]
+    rank[~own] = _NONE
     key = (rank << 40) | np.arange(places)
     best, reach = key, 1
     while reach < SPAN:
@@ -113,9 +143,9 @@ def filters(data: bytes, places: np.ndarray) -> np.ndarray:
     return np.packbits(out, axis=1)
 
 
-def digests(datas: list[bytes]) -> list[np.ndarray]:
-    """The filters of each text."""
-    return [filters(d, p) for d, p in zip(datas, selected(datas), strict=True)]
+def digests(datas: list[bytes], rank_of: np.ndarray) -> list[np.ndarray]:
+    """The filters of each text, with features chosen by the ranks of their levels of entropy."""
+    return [filters(d, p) for d, p in zip(datas, selected(datas, rank_of), strict=True)]
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,14 +183,14 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - half] + other[:half]
 
 
-def _compare(rows: list[tuple], nexts: list[tuple], known: dict) -> list[tuple]:
+def _compare(rows: list[tuple], nexts: list[tuple], known: dict, rank_of: np.ndarray) -> list[tuple]:
     """Output columns of rows, given each one's next row; known has digests by text of rows that were next before."""
     texts = [r[-1] or "" for r in rows]
     others = [r[-1] or "" for r in nexts]
     changed = [edited(a, b) for a, b in zip(texts, others, strict=True)]
     need = [t for t in dict.fromkeys([*texts, *others, *changed]) if t not in known]
     for at, size in _blocks(need):
-        known.update(zip(need[at : at + size], digests([t.encode("utf-8", "surrogatepass") for t in need[at : at + size]]), strict=True))
+        known.update(zip(need[at : at + size], digests([t.encode("utf-8", "surrogatepass") for t in need[at : at + size]], rank_of), strict=True))
     out = []
     for t, o, c in zip(texts, others, changed, strict=True):
         own, new = known[t], known[c]
@@ -183,54 +213,58 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(bucket, place, shown, doc_id, text), a partition for each bucket, sorted: the next row of a bucket is the next document.
 
     Ids are cut into ranges of about equally many rows, buckets, in descending
-    order; the first row of each bucket stands once more, not shown, at the end
+    order; rows without id follow, cut in the same way by a hash of their texts.  The first row of each bucket stands once more, not shown, at the end
     of the bucket before (of the last one, for the first).  So all texts move
     once and no order over the whole table is made in one task.  Rows of equal
-    id are ordered by text; null ids come last.
+    id are ordered by that hash.  Ids have to be whole numbers, else TypeError.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    n = max(1, width(spark) - 1)  # and one more, for rows without id
-    marks = rows.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("m")).first().m or []
-    held = spark.sparkContext.broadcast(np.unique(np.array(marks[: n - 1], np.int64)))  # a whole number for each partition
+    whole_id(docs, id_col)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("t", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    n = max(1, width(spark) - 1)
+    cuts = lambda c: F.percentile_approx(c, [k / n for k in range(1, n)] or [0.5], 20 * n)
+    found = rows.select(cuts("doc_id").alias("i"), cuts(F.when(F.col("doc_id").isNull(), F.col("t"))).alias("t"), F.bool_or(F.col("doc_id").isNull()).alias("some")).first()
+    # Whole numbers, fewer than there are partitions.
+    held = spark.sparkContext.broadcast([np.unique(np.array((m or [])[: n - 1], np.int64)) for m in (found.i, found.t)])
 
     @F.pandas_udf("int")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        marks = held.value
-        return pd.Series((len(marks) - np.searchsorted(marks, ids.to_numpy(np.int64), side="right")).astype(np.int32))
-
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(bucket_of(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))))
-    rows = rows.withColumn("bucket", bucket).withColumn("t", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    heads = {r.bucket: r.i for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("i")).collect()}
-    tie = rows.where("doc_id is null").agg(F.min("t").alias("t")).first().t if n in heads else None
+    def bucket_of(ids: pd.Series, t: pd.Series, there: pd.Series) -> pd.Series:
+        marks, more = held.value
+        by_id = len(marks) - np.searchsorted(marks, ids.to_numpy(np.int64), side="right")
+        by_text = n + np.searchsorted(more, t.to_numpy(np.int64), side="right")
+        return pd.Series(np.where(there.to_numpy(bool), by_id, by_text).astype(np.int32))
+
+    rows = rows.withColumn("bucket", bucket_of(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), F.col("t"), F.col("doc_id").isNotNull()))
+    heads = {r.bucket: (r.i, r.t) for r in rows.groupBy("bucket").agg(F.max(F.col("doc_id").cast("bigint")).alias("i"), F.min("t").alias("t")).collect()}
     order = sorted(heads)
-    table = spark.createDataFrame(
-        [(b, heads[b], tie if b == n else None, order[k - 1]) for k, b in enumerate(order)], "b int, i bigint, tie bigint, to int"
-    )
+    table = spark.createDataFrame([(b, *heads[b], order[k - 1]) for k, b in enumerate(order)], "b int, i bigint, tie bigint, to int")
     own = rows.withColumn("place", F.lit(0)).withColumn("shown", F.lit(True))
-    # The table has a row for each bucket, as many as partitions at most.
+    # The table has a row for each bucket, at most twice as many as partitions.
     first = (F.col("doc_id") == F.col("i")) | (F.col("doc_id").isNull() & (F.col("t") == F.col("tie")))
     again = rows.join(F.broadcast(table), (F.col("bucket") == F.col("b")) & first)
     again = again.select("doc_id", "text", F.col("to").alias("bucket"), "t", F.lit(1).alias("place"), F.lit(False).alias("shown"))
     return (
         own.unionByName(again)
-        .repartitionById(n + 1, "bucket")
+        .repartitionById(2 * n if found.some else n, "bucket")
         .sortWithinPartitions("bucket", "place", F.desc_nulls_last("doc_id"), "t")
         .select("bucket", "place", "shown", "doc_id", "text")
     )
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_of: np.ndarray | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of docs.
 
-    The edited text's second half comes from the next document, by descending
+    Features are ranked by how rare their entropy is among all windows of docs, or by rank_of, as measured() gave it
+    for another corpus.  The edited text's second half comes from the next document, by descending
     id; the last one's from the first.  Null texts count as empty; an empty
     text's fingerprint is the empty string, like only to itself.  Rows that
     repeat an id follow each other in an order given by their texts; rows without id
-    come last.  A table of one row is its own next, an empty one gives none.
+    come last, by a hash of their texts; other ids are whole numbers, else TypeError.  A table of one row is its own next, an empty one gives none.
     Other columns are ignored.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(measured(docs, text_col) if rank_of is None else rank_of)
+
     def run(batches: Iterator[pa.RecordBatch]):
         waiting: tuple | None = None
         pairs: list[tuple[tuple, tuple]] = []
@@ -240,7 +274,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         def flush():
             nonlocal known, held
             last = pairs[-1][1][-1] or ""
-            made = _compare([p[0] for p in pairs], [p[1] for p in pairs], known)
+            made = _compare([p[0] for p in pairs], [p[1] for p in pairs], known, shared.value)
             known, held = {last: known[last]}, 0
             ids = pa.array([p[0][1] for p in pairs], kind)
             pairs.clear()
@@ -268,4 +302,5 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """fingerprint_edits() of all documents: null texts count as empty, repeated rows follow each other."""
     return fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_type, map_rows, unused, utf8, width
+from .common import cut, id_type, map_rows, unused, utf8, whole_id, width
 from .components import connected_components
 
 TILE = 1024
@@ -205,8 +205,9 @@ def simhash_components(
     have fingerprint zero and link like others.  Repeated rows give repeated
     rows.  A row without id has component_id null unless its fingerprint is
     that of a row with one, and links no others.  An empty table gives none.
-    Other columns are ignored, whatever their names.
+    Ids are whole numbers, else TypeError.  Other columns are ignored, whatever their names.
     """
+    whole_id(docs, id_col)
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut(fps.where("id is not null").groupBy("fp").agg(F.min(F.col("id").cast("bigint")).alias("node")))
     found = connected_components(near_links(distinct, radius), "a", "b")
@@ -236,6 +237,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
+    """simhash_components() of all documents: null and empty texts have fingerprint zero and link, repeated rows give repeated rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return simhash_components(docs).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"

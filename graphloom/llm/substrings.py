@@ -135,8 +135,8 @@ def anchors(hashes: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray,
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k, h, doc_id, text): k and h together tell rows apart that differ in id or text."""
-    doc, text = F.col(id_col), F.col(text_col)
-    return docs.select(F.coalesce(doc.cast("bigint"), F.lit(-1)).alias("k"), F.xxhash64(doc, F.lit(1), text).alias("h"), doc.alias("doc_id"), text.alias("text"))
+    doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return docs.select(F.xxhash64(doc).alias("k"), F.xxhash64(doc, F.lit(1), text).alias("h"), doc.alias("doc_id"), text.alias("text"))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
