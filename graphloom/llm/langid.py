@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_values, id_type, uniform, utf8
+from .common import column_values, uniform, utf8
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -88,6 +88,7 @@ class Tables:
     """The trained network for inference: what two bytes in a row add to each filter is looked up, not multiplied."""
 
     def __init__(self, p: dict[str, np.ndarray]):
+        self.p = p
         each = {w: np.einsum("bd,kdf->kbf", p["emb"], p[f"w{w}"].reshape(w, DIM, FILTERS)) for w in WIDTHS}
         pair = lambda a, b: (a[:, None, :] + b[None, :, :]).reshape(65536, FILTERS)
         zero = np.zeros((256, FILTERS), np.float32)
@@ -201,8 +202,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return network.tables(), languages
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model=None) -> DataFrame:
-    """docs' columns in a struct doc, with lang_pred and score, for each row.
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model=None, keep: list[str] | None = None) -> DataFrame:
+    """docs' columns, or those of keep, in a struct doc, with lang_pred and score, for each row.
 
     Learns from docs unless a model from fit() is given.  Null texts and texts
     without a letter are "und" with score 0, as are all if there is no labelled
@@ -211,7 +212,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model or fit(docs, id_col, text_col, lang_col))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns])
     rows = docs.select(whole.alias("doc"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches):
@@ -235,20 +236,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def op8_langid(spark, sf_dir: str) -> DataFrame:
+    """identify() of all documents: null texts and those without a letter are "und", repeated rows give repeated rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    model = fit(docs)
-    held = spark.sparkContext.broadcast(model)
-    texts = docs.select("doc_id", "text")
-
-    def run(batches):
-        tables, languages = held.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                made = predict(tables, languages, part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=["doc_id", "lang_pred", "score"]
-                )
-
-    made = texts.mapInArrow(run, f"doc_id {id_type(docs, 'doc_id')}, lang_pred string, score double")
-    return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    made = identify(docs, keep=["doc_id"])
+    return made.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", "score")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_type, map_rows, unused, utf8, whole_id, width
+from .common import cut, id_type, map_rows, utf8, whole_id, width
 from .components import connected_components
 
 TILE = 1024
@@ -75,7 +75,7 @@ def block_masks(n: int, radius: int, tile: int = 256) -> list[int]:
 def tile_components(x: np.ndarray, radius: int) -> np.ndarray:
     """For each of the fingerprints x, the least position that it reaches by links of at most radius bits.
 
-    Fingerprints are laid out in tiles by population count; tiles whose counts
+    A fingerprint is a word of 64 bits, or a row of them.  Fingerprints are laid out in tiles by population count; tiles whose counts
     differ beyond the radius are skipped, others are compared whole.
     """
     parent = list(range(len(x)))
@@ -91,9 +91,10 @@ def tile_components(x: np.ndarray, radius: int) -> np.ndarray:
         if i != j:
             parent[max(i, j)] = min(i, j)
 
-    pop = np.bitwise_count(x)
+    x = x.reshape(len(x), -1)
+    pop = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
     order = np.argsort(pop, kind="stable")
-    x, pop = x[order], pop[order].astype(np.int64)
+    x, pop = x[order], pop[order]
     for i in range(0, len(x), TILE):
         left = x[i : i + TILE]
         top = pop[min(i + TILE, len(x)) - 1] + radius
@@ -101,7 +102,10 @@ def tile_components(x: np.ndarray, radius: int) -> np.ndarray:
             if pop[j] > top:
                 break
             right = x[j : j + TILE]
-            near = np.bitwise_count(left[:, None] ^ right[None, :]) <= radius
+            apart = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0])
+            for word in range(1, x.shape[1]):
+                apart += np.bitwise_count(left[:, None, word] ^ right[None, :, word])
+            near = apart <= radius
             if i == j:
                 near &= np.tri(len(left), k=-1, dtype=bool).T
             found = np.count_nonzero(near)
@@ -217,25 +221,6 @@ def simhash_components(
     return fps.join(cut(named), F.col("fp") == F.col("f"), "left").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """Of each near-duplicate group of docs the row with the smallest id, whole; rows without id stay.
-
-    Of rows that repeat an id, the one whose columns' hash is least stays.
-    """
-    parts = simhash_components(docs, id_col, text_col, radius)
-    heads = cut(parts.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times")))
-    head = unused("head", docs)
-    own = F.col(f"`{id_col}`") == F.col(head)
-    single = heads.where("times = 1").select(F.col("doc_id").alias(head))
-    kept = docs.join(single, own, "left_semi").unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
-    repeats = heads.where("times > 1").select(F.col("doc_id").alias(head))
-    if repeats.isEmpty():  # as ids are unique, mostly
-        return kept
-    whole = [F.col(f"`{c}`") for c in docs.columns]
-    best = docs.join(repeats, own, "left_semi").groupBy(F.col(f"`{id_col}`").alias("i")).agg(F.min_by(F.struct(*whole), F.xxhash64(*whole)).alias("row"))
-    return kept.unionByName(best.select("row.*"))
-
-
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     """simhash_components() of all documents: null and empty texts have fingerprint zero and link, repeated rows give repeated rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

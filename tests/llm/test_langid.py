@@ -36,6 +36,35 @@ def test_tables_equal_the_network():
     assert np.abs(got - want).max() < 1e-4
 
 
+def slow(p, languages, text):
+    """Language and score by the definitions, window by window."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data = text.encode()
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    total = np.zeros(len(languages))
+    for at in range(0, len(data), L.WINDOW):
+        x = np.frombuffer(data[at : at + L.WINDOW + L.REACH].ljust(L.WINDOW + L.REACH, b"\0"), np.uint8)
+        e = p["emb"][x]
+        h = [np.stack([e[k : k + w].ravel() @ p[f"w{w}"] for k in range(L.WINDOW)]).max(axis=0) + p[f"b{w}"] for w in L.WIDTHS]
+        logit = np.maximum(np.concatenate(h), 0) @ p["out"] + p["bias"]
+        total += (logit - logit.max() - np.log(np.exp(logit - logit.max()).sum())) * len(data[at : at + L.WINDOW])
+    prob = np.exp(total / len(data) - (total / len(data)).max())
+    prob /= prob.sum()
+    return languages[int(prob.argmax())], float(prob.max())
+
+
+def test_result_against_a_slow_forward_pass(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    tables, languages = L.fit(docs, steps=200)
+    got = {r.doc_id: r for r in L.identify(docs, model=(tables, languages)).select("doc.doc_id", "lang_pred", "score").collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        lang, score = slow(tables.p, languages, r.text)
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-3
+
+
 def test_windows_cover_the_text():
     for n in (0, 1, 255, 256, 257, 1000):
         data = bytes(range(1, 256)) * 4

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import sys
 from collections import Counter
 from pathlib import Path
@@ -9,49 +10,57 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from graphloom.llm import langid, mixing, pieces, secrets, simhash  # noqa: E402
+import slow_lexer  # noqa: E402
+from test_langid import slow as slow_language  # noqa: E402
+from test_resemblance import brute as alike  # noqa: E402
+from test_secrets import brute as base_spans  # noqa: E402
 
-
-def brute_groups(rows):
-    """The least id of each near-duplicate group."""
-    ids = [r.doc_id for r in rows]
-    x = np.array([simhash.fingerprint(r.text) for r in rows], np.uint64)
-    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3
-    label = np.array(ids)
-    while True:
-        new = np.where(near, label[None, :], 1 << 60).min(axis=1)
-        if (new == label).all():
-            return {i for i, k in zip(ids, label.tolist(), strict=True) if i == k}
-        label = new
+from graphloom.llm import langid, mixing, pieces, secrets  # noqa: E402
 
 
 def u(seed, *parts):
     return int(hashlib.md5(":".join([str(seed), *map(str, parts)]).encode()).hexdigest()[:12], 16) / 2**48
 
 
+def redacted(text):
+    """The text with each character of a secret marked, and each run of these replaced."""
+    spans = [(m[0], m[1], m[2]) for m in base_spans(text)]
+    gone = [(a, b) for a, b in slow_lexer.lexed(text) if not any(x <= a and b <= y for x, _, y in spans)]
+    for a, kind, b in spans:
+        inside = re.match(secrets._ASSIGN.pattern, text[a:b], re.I | re.A) if kind == 0 else None
+        gone.append((a + inside.start(2) if inside else a, b))
+    out, at, end = "", 0, -1
+    for a, b in sorted(gone):
+        if a > end:
+            out += text[at:a] + "[SECRET]"
+        end = at = max(end, b)
+    return out + text[at:]
+
+
 def test_each_stage_against_brute_force(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     names = docs.columns
     stages = dict(corpus_pipeline.STAGES)
     given = docs.collect()
 
-    judged = {r.doc_id: r for r in langid.identify(docs).select("doc.doc_id", "lang_pred", "score").collect()}
+    tables, languages = langid.fit(docs)
+    judged = {r.doc_id: slow_language(tables.p, languages, r.text) for r in given}
     kept = stages["language_id"](spark, docs, data)
     assert kept.columns == names
     rows = sorted(kept.collect(), key=lambda r: r.doc_id)
-    assert {r.doc_id for r in rows} == {r.doc_id for r in given if langid.has_letter(r.text) and judged[r.doc_id].score >= corpus_pipeline.LEAST_SCORE}
+    assert {r.doc_id for r in rows} == {r.doc_id for r in given if judged[r.doc_id][0] != "und" and judged[r.doc_id][1] >= corpus_pipeline.LEAST_SCORE}
     assert len(rows) >= 0.97 * len(given)
 
     kept = stages["near_dedup"](spark, spark.createDataFrame(rows, docs.schema), data)
     after = sorted(kept.collect(), key=lambda r: r.doc_id)
-    assert kept.columns == names and {r.doc_id for r in after} == brute_groups(rows) and len(after) < len(rows)
+    assert kept.columns == names and [r.doc_id for r in after] == alike([(r.doc_id, r.text) for r in rows]) and len(after) < len(rows)
     assert {tuple(r) for r in after} <= {tuple(r) for r in rows}
 
     kept = stages["secret_scan"](spark, spark.createDataFrame(after, docs.schema), data)
     clean = sorted(kept.collect(), key=lambda r: r.doc_id)
     assert kept.columns == names and len(clean) == len(after)
     for a, b in zip(after, clean, strict=True):
-        assert b.text == secrets.redact(a.text, secrets.scan(a.text)) and b.n_chars == len(b.text)
+        assert b.text == redacted(a.text) and b.n_chars == len(b.text)
         assert not [s for s in secrets.scan(b.text) if s[1] < 3]
 
     kept = stages["source_mix"](spark, spark.createDataFrame(clean, docs.schema), data)
@@ -64,7 +73,8 @@ def test_each_stage_against_brute_force(spark, data):
     for r in clean:
         g = r.source if r.source in mixing.WEIGHTS else None
         rate = mixing.WEIGHTS.get(g, mixing.OTHER) / (sum(mixing.WEIGHTS.values()) + mixing.OTHER) * sum(size.values()) / size[g]
-        x, n, p, c = u(mixing.SEED, r.doc_id), 0, np.exp(-rate), np.exp(-rate)
+        assert rate <= mixing.SHARE
+        x, n, p, c = u(mixing.SEED, r.doc_id, hashlib.md5(r.text.encode()).hexdigest(), 0), 0, np.exp(-rate), np.exp(-rate)
         while c <= x:
             n += 1
             p *= rate / n

@@ -102,12 +102,6 @@ def test_empty_table(spark):
     assert S.simhash_components(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-def test_keep_first(spark):
-    rows = [(4, "a b c d"), (2, "A b c d"), (9, None), (7, ""), (5, "z y x w v"), (5, "z y x w v"), (None, "a b c d")]
-    kept = S.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert sorted((r[:] for r in kept), key=str) == sorted([(2, "A b c d"), (7, ""), (5, "z y x w v"), (None, "a b c d")], key=str)
-
-
 def test_query_on_a_whole_table(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in S.op1_simhash(spark, data).collect()}
