@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that the session names; in a folder of our own only where it names none, as in tests."""
+    """df as a checkpoint in the folder that the session names; in a folder of our own only where it names none and all runs in one process, as in tests."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -17,5 +17,8 @@ def shared_folder(spark) -> str:
     """The checkpoint folder that all executors see."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="graphloom-"))
     return context.getCheckpointDir()

@@ -7,10 +7,12 @@ gathered beyond one paragraph or table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import islice
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,25 +97,48 @@ def sentences(paragraphs: DataFrame, splitter=split_sentences) -> DataFrame:
     return found.select("doc", F.concat("cid", F.lit("_s"), F.col("pos") + 1).alias("cid"), "pos", F.col("s").alias("text"))
 
 
-def _tolerant(text: Column) -> Column:
+def _loose(said: str) -> re.Pattern:
     """A pattern for a text with any white space, or none, where it has some."""
-    escaped = F.transform(F.split(F.trim(text), r"\s+"), lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-    return F.array_join(escaped, r"\s*")
+    return re.compile(r"\s*".join(map(re.escape, re.split(r"\s+", said.strip(" "), flags=re.A))), re.A)
+
+
+def _starts(whole: str, said: list[str]) -> list[int]:
+    """Where each of said stands first in whole; all are searched at once, so that the work grows with the text."""
+    automaton = ahocorasick.Automaton()
+    for x in said:
+        automaton.add_word(x, x)
+    first: dict[str, int] = {}
+    if said:
+        automaton.make_automaton()
+        for end, x in automaton.iter(whole):
+            first.setdefault(x, end + 1 - len(x))
+    for x in said:
+        if x not in first:
+            m = _loose(x).search(whole)
+            if not m:
+                raise ValueError(f"sentence not in its paragraph: {x[:80]!r}")
+            first[x] = m.start()
+    return [first[x] for x in said]
 
 
 def located(sentences: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """sentences with para and start, the offset of the first place in the paragraph where they stand; an error if there is none.
 
-    Equal sentences of a paragraph have the same start.
+    Equal sentences of a paragraph have the same start.  A paragraph meets its sentences once, as a list; sentences
+    without a paragraph go.
     """
-    p = paragraphs.select(F.col("doc").alias("d"), F.col("cid").alias("para"), F.col("text").alias("whole"))
-    both = sentences.join(p, (F.col("doc") == F.col("d")) & (ids.highest(F.col("cid")) == F.col("para")))
-    exact = F.expr("locate(text, whole)")
-    loose = F.regexp_instr("whole", _tolerant(F.col("text")))
-    # Through an array, so that each search is written once and runs once.
-    at = F.get(F.transform(F.array(exact), lambda x: F.when(x > 0, x).otherwise(F.get(F.transform(F.array(loose), lambda y: F.when(y > 0, y)), 0))), 0)
-    missing = F.raise_error(F.concat(F.lit("sentence not in its paragraph: "), F.col("cid"))).cast("int")
-    return both.withColumn("start", F.coalesce(at - 1, missing)).drop("d", "whole")
+    s = sentences.withColumn("para", ids.highest(F.col("cid")))
+    held = s.groupBy(F.col("doc").alias("_doc"), F.col("para").alias("_para")).agg(F.collect_list(F.struct(*[F.col(c) for c in s.columns])).alias("_rows"))
+    p = paragraphs.select(F.col("doc").alias("d"), F.col("cid").alias("c"), F.col("text").alias("whole"))
+    both = held.join(p, (F.col("_doc") == F.col("d")) & (F.col("_para") == F.col("c")))
+
+    @F.pandas_udf("array<int>")
+    def starts(whole: pd.Series, said: pd.Series) -> pd.Series:
+        return pd.Series([_starts(w, list(x)) for w, x in zip(whole, said, strict=True)])
+
+    found = both.select("_rows", starts("whole", F.transform("_rows", lambda r: r["text"])).alias("_starts"))
+    each = found.select(F.posexplode("_rows").alias("_k", "_r"), "_starts")
+    return each.select("_r.*", F.get("_starts", F.col("_k")).alias("start"))
 
 
 def edges_to_sentences(placed: DataFrame, edges: DataFrame) -> DataFrame:
@@ -125,14 +150,16 @@ def edges_to_sentences(placed: DataFrame, edges: DataFrame) -> DataFrame:
     """
     s = placed.select(F.col("doc").alias("sd"), F.col("para").alias("sp"), "cid", F.col("start").alias("from"), (F.col("start") + F.length("text")).alias("to"))
     s = s.select("*", F.explode(F.sequence(F.expr(f"from div {REACH}"), F.expr(f"to div {REACH}"))).alias("at"))
-    keyed = edges.select(F.struct(*[F.col(c) for c in edges.columns]).alias("edge_no"), "doc", "para", "start", "end", F.expr(f"start div {REACH}").alias("edge_at"))
+    rest = [c for c in edges.columns if c not in ("doc", "para", "start", "end")]
+    keyed = edges.withColumn("edge_at", F.expr(f"start div {REACH}"))
     same = (F.col("doc") == F.col("sd")) & (F.col("para") == F.col("sp")) & (F.col("edge_at") == F.col("at"))
     held = keyed.join(s, same & (F.col("from") <= F.col("start")) & (F.col("end") <= F.col("to")))
-    # Repeated edges stay: they are counted before the first sentence is chosen.
-    times = held.groupBy("edge_no", "cid", "from").agg(F.count("*").alias("n"))
-    best = times.groupBy("edge_no").agg(F.min(F.struct("from", F.length("cid").alias("l"), "cid", "n")).alias("b"))
-    rest = [c for c in edges.columns if c not in ("doc", "para", "start", "end")]
-    once = best.select(F.col("edge_no.*"), F.col("b.cid").alias("cid"), F.col("b.from").alias("from"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("b.n"))).alias("copy"))
+    # Grouped by the keys of the join and more, so that rows stay where the join has put them. Repeated edges
+    # stay: they are counted before the first sentence is chosen.
+    key = ["doc", "para", "edge_at", "start", "end", *rest]
+    times = held.groupBy(*key, "cid", "from").agg(F.count("*").alias("n"))
+    best = times.groupBy(*key).agg(F.min(F.struct("from", F.length("cid").alias("l"), "cid", "n")).alias("b"))
+    once = best.select("doc", "start", "end", *rest, F.col("b.cid").alias("cid"), F.col("b.from").alias("from"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("b.n"))).alias("copy"))
     return once.select("doc", "cid", (F.col("start") - F.col("from")).alias("start"), (F.col("end") - F.col("from")).alias("end"), *rest)
 
 
@@ -232,37 +259,57 @@ def children_of(parents: DataFrame, low: DataFrame) -> DataFrame:
     both = c.join(p, (F.col("doc") == F.col("pd")) & (ids.highest(F.col("cid")) == F.col("top")))
     return both.where(~F.col("top").startswith("p") | (F.instr("cid", "s") > 0)).select("doc", "top", "cid")
 
-def containing(docs: DataFrame, passages: DataFrame, most: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, item_id), once each: documents and the passages (item_id, passage) that their text contains.
+#: Characters of passages that are broadcast at once.
+HELD = 4_000_000
 
-    The passages make one automaton, through which each text goes once.  It is
-    broadcast, so there may be `most` passages at most, else ValueError.  Empty and null ones are in no text.
-    """
-    rows = passages.where("passage <> ''").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} passages")
+
+def _rounds(passages: DataFrame, most: int) -> Iterator[dict[str, list]]:
+    """The passages with their item_ids, in rounds of at most `most` characters, or of one passage."""
     named: dict[str, list] = {}
-    for r in rows:
+    size = 0
+    for r in passages.where("passage <> ''").toLocalIterator():
+        new = 0 if r.passage in named else len(r.passage)
+        if named and size + new > most:
+            yield named
+            named, size = {}, 0
+            new = len(r.passage)
         named.setdefault(r.passage, []).append(r.item_id)
-    held = docs.sparkSession.sparkContext.broadcast(named)
+        size += new
+    if named:
+        yield named
+
+
+def containing(docs: DataFrame, passages: DataFrame, most: int = HELD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, item_id), once each for a row of docs: documents and the passages (item_id, passage) that their text contains.
+
+    The passages make an automaton, through which each text goes once.  At most `most` characters of passages are
+    broadcast at once; more take as many rounds over the documents.  Empty and null ones are in no text.
+    """
+    schema = T.StructType([docs.schema[id_col], passages.schema["item_id"]])
     item = to_arrow_type(passages.schema["item_id"].dataType)
+    context = docs.sparkSession.sparkContext
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        for passage, ids in held.value.items():
-            automaton.add_word(passage, ids)
-        if held.value:
+    def search(held):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for passage, ids in held.value.items():
+                automaton.add_word(passage, ids)
             automaton.make_automaton()
-        for batch in batches:
-            at, found = [], []
-            for k, text in enumerate(batch.column(1).to_pylist() if held.value else []):
-                inside = {i for _, ids in automaton.iter(text or "") for i in ids}
-                at += [k] * len(inside)
-                found += sorted(inside)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, item)], names=[id_col, "item_id"])
+            for batch in batches:
+                at, found = [], []
+                for k, text in enumerate(batch.column(1).to_pylist()):
+                    inside = {i for _, ids in automaton.iter(text or "") for i in ids}
+                    at += [k] * len(inside)
+                    found += sorted(inside)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, item)], names=[id_col, "item_id"])
 
-    schema = T.StructType([docs.schema[id_col], passages.schema["item_id"]])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+        return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+    out = None
+    for named in _rounds(passages, most):
+        part = search(context.broadcast(named))
+        out = part if out is None else out.unionByName(part)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 #: The kinds of components that a parsed document holds, with their layer.

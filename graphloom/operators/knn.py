@@ -11,10 +11,12 @@ from pyspark.sql.window import Window as W
 
 from ..functions.vector import ordered_products
 
-#: Questions that are broadcast at once, and best vectors that a task holds for all of them; more questions go in several blocks.
+#: Questions that are broadcast at once, and best vectors that a task holds for all of them; more questions make several blocks.
 QUESTIONS_PER_BLOCK, HELD = 4096, 1 << 21
 #: Estimated bytes of vectors from which a part of them, one in SHARE, is searched first, for a bound to the best scores.
 LARGE, SHARE = 1 << 33, 64
+#: Vectors that a task compares with a block of questions, where there are several blocks.
+VECTORS_PER_BLOCK = 65536
 
 
 def ranked(df: DataFrame, k: int, partition: str = "qid", score: str = "score", tie: str = "node") -> DataFrame:
@@ -82,7 +84,8 @@ def _found(held, bounds, corpus: DataFrame, k: int) -> DataFrame:
     return corpus.select("node", "vec").where("vec is not null").mapInArrow(run, schema)
 
 
-def _block(questions: list, corpus: DataFrame, k: int) -> DataFrame:
+def _few(questions: list, corpus: DataFrame, k: int, id_type: T.DataType) -> DataFrame:
+    """The search for one block of questions, which is broadcast; the corpus stays where it is."""
     context = corpus.sparkSession.sparkContext
     ids = [r[0] for r in questions]
     held = context.broadcast(np.array([r[1] for r in questions], np.float64))
@@ -94,30 +97,46 @@ def _block(questions: list, corpus: DataFrame, k: int) -> DataFrame:
         for r in ranked(part, k, "q").where(F.col("rank") == k).select("q", "score").collect():
             bound[r.q] = r.score
     found = _found(held, context.broadcast(bound), corpus, k)
-    names = corpus.sparkSession.createDataFrame(list(enumerate(ids)), T.StructType().add("n", "integer").add("qid", _id_type(ids)))
-    return ranked(found.join(F.broadcast(names), F.col("q") == F.col("n")).select("qid", "node", "score"), k)
+    names = corpus.sparkSession.createDataFrame(list(enumerate(ids)), T.StructType().add("n", "integer").add("qid", id_type))
+    return ranked(found.join(F.broadcast(names), F.col("q") == F.col("n")).select("qid", "node", "score"), k)  # names has a block's rows
 
 
-def _id_type(ids: list) -> str:
-    return "string" if ids and isinstance(ids[0], str) else "long"
+def _many(questions: DataFrame, corpus: DataFrame, k: int, count: int, most: int) -> DataFrame:
+    """The search for any number of questions, in one plan: each block of questions meets each block of vectors in a task of its own.
+
+    Blocks are made by hashes on the cluster and are of bounded size, most questions and VECTORS_PER_BLOCK vectors or
+    a little more; a block pair gives its k best for each of its questions.
+    """
+    asked, there = -(-count // most), -(-corpus.count() // VECTORS_PER_BLOCK)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
+    q = questions.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(asked)).cast("int").alias("qb"), each(there).alias("cb"))
+    c = corpus.where("vec is not null").select("node", "vec", each(asked).alias("qb"), F.pmod(F.xxhash64("node"), F.lit(max(there, 1))).cast("int").alias("cb"))
+    schema = T.StructType([T.StructField("qid", questions.schema["qid"].dataType), T.StructField("node", corpus.schema["node"].dataType), T.StructField("score", T.DoubleType())])
+
+    def run(mine: pa.Table, vectors: pa.Table) -> pa.Table:
+        if mine.num_rows and vectors.num_rows:
+            asked = np.stack([np.asarray(x, np.float64) for x in mine.column("vec").to_pylist()])
+            batches = vectors.select(["node", "vec"]).combine_chunks().to_batches(max_chunksize=2048)
+            for i, s, nodes in _search(asked, np.full(len(asked), -np.inf), batches, k):
+                ids = mine.column("qid").combine_chunks().take(pa.array(i))
+                return pa.table({"qid": ids, "node": nodes, "score": pa.array(s)})
+        return pa.table({"qid": mine.column("qid").slice(0, 0), "node": vectors.column("node").slice(0, 0), "score": pa.array([], pa.float64())})
+
+    found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(run, schema)
+    return ranked(found, k)
 
 
 def knn(questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(qid, node, score, rank) of the k vectors of corpus (node, vec) with the largest inner products with each question (qid, vec).
 
-    The corpus is read once for each block of questions and stays where it is;
-    each task holds and gives its own best only.  Equal scores go by node.
-    Fewer than k vectors give fewer rows.
+    Up to a block of questions is broadcast, by a count that is checked, and the corpus is read where it is; more are
+    dealt in blocks with blocks of vectors, in one plan whatever their number.  Either way a
+    task holds and gives its own best only.  Equal scores go by node.  Fewer than k vectors give fewer rows.
     """
     most = max(1, min(QUESTIONS_PER_BLOCK, HELD // max(k, 1)))
-    blocks: list[list] = [[]]
-    for r in questions.select("qid", "vec").orderBy("qid").toLocalIterator():
-        if len(blocks[-1]) == most:
-            blocks.append([])
-        blocks[-1].append((r.qid, r.vec))
-    if not blocks[0]:
-        return corpus.select(F.lit(None).cast("bigint").alias("qid"), "node", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    out = _block(blocks[0], corpus, k)
-    for more in blocks[1:]:
-        out = out.unionByName(_block(more, corpus, k))
-    return out
+    first = questions.select("qid", "vec").limit(most + 1).collect()
+    if not first:
+        return corpus.select(F.lit(None).cast(questions.schema["qid"].dataType).alias("qid"), "node", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    if len(first) <= most:
+        return _few(sorted(((r.qid, r.vec) for r in first), key=lambda r: r[0]), corpus, k, questions.schema["qid"].dataType)
+    return _many(questions, corpus, k, questions.count(), most)

@@ -195,18 +195,23 @@ def prompt_image(title: Column, path: Column, image: Column, text: Column, numbe
 
 def prompt_table(title: Column, path: Column, rows: Column, number: Column) -> Column:
     """Rows of resolved cells, one a line, bars between cells; only the first image is shown."""
-    flat = F.flatten(rows)
-    has = F.transform(flat, lambda c: c["image"].isNotNull())
-    width = lambda r: F.size(r)
-    first = F.array_position(has, F.lit(True))
-    before = F.transform(rows, lambda _, i: F.aggregate(F.slice(rows, F.lit(1), i), F.lit(0), lambda n, r: n + width(r)))
-
-    def cell(c: Column, at: Column) -> Column:
-        mark = F.when(at == first, F.concat(F.lit("<Image "), number.cast("string"), F.lit(">"))).otherwise(F.lit(""))
+    shown = F.transform(rows, lambda r: F.exists(r, lambda c: c["image"].isNotNull()))
+    line = F.array_position(shown, F.lit(True)) - 1
+    place = F.array_position(F.transform(F.get(rows, line), lambda c: c["image"].isNotNull()), F.lit(True)) - 1
+
+    def cell(c: Column, here: Column) -> Column:
+        mark = F.when(here, F.concat(F.lit("<Image "), number.cast("string"), F.lit(">"))).otherwise(F.lit(""))
         both = F.concat(mark, F.when((mark != "") & (c["text"] != ""), F.lit(", ")).otherwise(F.lit("")), c["text"])
         return commas(both)
 
-    lines = F.transform(rows, lambda r, i: F.array_join(F.transform(r, lambda c, j: cell(c, F.get(before, i) + j + 1)), " | "))
+    # The first image's place is found once, not in each cell.
+    lines = F.get(
+        F.transform(
+            F.array(F.struct(line.alias("i"), place.alias("j"))),
+            lambda at: F.transform(rows, lambda r, i: F.array_join(F.transform(r, lambda c, j: cell(c, F.coalesce((at["i"] == i) & (at["j"] == j), F.lit(False)))), " | ")),
+        ),
+        0,
+    )
     body = F.when(F.size(rows) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
     return F.concat(F.lit("/*\n[Table]\nTitle: "), title, F.lit("\nSection: "), section(path), F.lit("\n\n"), body, F.lit("*/\n\n"))
 

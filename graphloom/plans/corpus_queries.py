@@ -367,8 +367,8 @@ ORACLES = {
     "edge_to_sentence": f"""{_P}, placed as (select s.*, instr(p.text, s.text) - 1 as o from sent s join para p on p.doc = s.doc and p.cid = s.para)
 select e.doc, s.cid, (start - o)::int as start, ("end" - o)::int as "end", e.text, edge, hyperlink from edge e join placed s on s.doc = e.doc and s.para = e.para and o <= start and "end" <= o + length(s.text)
 qualify row_number() over (partition by e.doc, e.para, start order by o, pos) = 1""",
-    "edge_to_proposition": f"""{_P} select e.doc, s.cid, e.text, edge, hyperlink from edge e join sent s on s.doc = e.doc and s.para = e.para and s.pos % 4 = 0
-where start < 400 and list_has_all(regexp_extract_all(lower(s.text), '[a-z0-9]+'), regexp_extract_all(lower(e.text), '[a-z0-9]+'))""",
+    "edge_to_proposition": f"""{_P} select e.doc, s.cid, e.text, edge, hyperlink from edge e join sent s on s.doc = e.doc and s.para = e.para
+where list_has_all(regexp_extract_all(lower(s.text), '[a-z0-9]+'), regexp_extract_all(lower(e.text), '[a-z0-9]+'))""",
     "text_edge_counts": f"{_P} select 'text' as modality, count(*) as n from (select distinct doc, para, edge from edge)",
     "text_component_stats": f"""{_P}, c as (select doc from para union all select doc from sent), s as (select count(*) as n, count(*) / count(distinct doc) as per_doc from c)
 select 'text' as modality, * from s union all select 'all', * from s""",
@@ -413,7 +413,7 @@ from o join nation on n_nationkey = n where k < 3 and n in (select c_nationkey %
     case when p_partkey % 7 <> 0 and p_partkey % 10 < 6 then 'file' || p_partkey % 10 || '.png' end as filename from part""",
     "benchmark_evidence": "select item_id, count(*) as n, min(doc_id) as first_doc from benchmark b join documents d on contains(d.text, b.text) group by item_id",
     "encoding_plan": "select * from (values ('set1', 'text', 256::int, 32::int), ('set2', 'text', 64, 8), ('set2', 'table', 512, 10)) v(dataset, component, max_length, batch_size)",
-    "document_scan": """with l as (select doc_id, list_slice(string_split(coalesce(text, ''), chr(10)), 1, 3) as l, lang from documents)
+    "document_scan": """with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l, lang from documents)
 select doc_id as doc, 'p_' || k as cid, 'text' as kind, 'top' as level, t as text from (select doc_id, unnest(range(1, len(l) + 1)) as k, unnest(l) as t from l)
 union all select doc_id, 'i_1', 'image', 'top', lang from l where doc_id % 3 = 0""",
     "cell_images": f"{_TBL}, num as (select doc, path, min(o) as o from cell where path in ('img/p0.png', 'img/p2.png', 'img/p6.png', 'img/r.png') group by doc, path) select doc, coalesce(string_agg(path, '|' order by o) filter (where path is not null), '') as images from (select distinct doc from line) left join num using (doc) group by doc",
@@ -434,8 +434,8 @@ x as (select n.*, case cid when 'p_1' then {_sql("/*" + chr(10) + "[Passage]" +
     else {_sql("/*" + chr(10) + "[Table]" + chr(10) + "Title: Order ")} || n.doc || {_sql(chr(10) + "Section: Orders, Lines" + chr(10) + chr(10) + "Part | Supplier , code | Status" + chr(10))} || t.body || {_sql("*/" + chr(10) + chr(10))} end as part from n left join t on t.qid = n.qid and t.doc = n.doc)
 select qid, case when count(shown) > 0 then {_sql(serialize.WITH_IMAGES)} else {_sql(serialize.WITHOUT_IMAGES)} end || {_sql(serialize.EXAMPLE + chr(10))} || string_agg(part, chr(10) order by r) || {_sql(chr(10) + "Question = What did customer ")} || qid || {_sql(" order?" + chr(10) + "The answer is: ")} as prompt,
     coalesce(string_agg(shown, '|' order by r) filter (where shown is not null), '') as images from x group by qid""",
-    "decompose_questions": """with q as (select conv_id as qid, regexp_replace(left(text, 200), '[^A-Za-z ]', ' ', 'g') as question from conversations where turn = 0 and conv_id % 5 <> 0),
-w as (select *, regexp_extract_all(question, '[A-Za-z]{6,}')[1:3] as w from q), r as (select qid, case when len(w) > 0 then w else [question] end as w from w)
+    "decompose_questions": """with q as (select conv_id as qid, regexp_replace(text, '[^A-Za-z ]', ' ', 'g') as question from conversations where turn = 0 and conv_id % 5 <> 0),
+w as (select *, regexp_extract_all(question, '[A-Za-z]{6,}') as w from q), r as (select qid, case when len(w) > 0 then w else [question] end as w from w)
 select qid, (k - 1)::int as sq_pos, qid || '___' || (k - 1) as sqid, w[k] as subquery from (select *, unnest(range(1, len(w) + 1)) as k from r)""",
-    "baseline_pages": "select l_orderkey as qid, 'doc_x' as doc, 'doc_x_' || l_partkey as page, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey || '.jpeg')::int as rank from lineitem where l_linenumber <= 3",
+    "baseline_pages": "select l_orderkey as qid, 'doc_x' as doc, 'doc_x_' || l_partkey as page, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey || '.jpeg')::int as rank from lineitem",
 }

@@ -140,6 +140,19 @@ def test_knn_levels_ties_and_sizes(spark, monkeypatch):
     monkeypatch.setattr(K, "SHARE", 2)
     again = K.knn(asked, same.repartition(5), 3).orderBy("qid", "rank").collect()
     assert [r[:] for r in again] == [r[:] for r in found]
+    for size in (7, 50, 65536):  # of blocks of vectors
+        monkeypatch.setattr(K, "VECTORS_PER_BLOCK", size)
+        assert [r[:] for r in K.knn(asked, same, 3).orderBy("qid", "rank").collect()] == [r[:] for r in found]
+    rng = np.random.default_rng(4)
+    many = spark.createDataFrame([(k, rng.normal(size=3).tolist()) for k in range(40)], "qid bigint, vec array<double>")
+    there = spark.createDataFrame([(k, rng.normal(size=3).tolist()) for k in range(60)] + [(60, None)], "node bigint, vec array<double>")
+    monkeypatch.setattr(K, "VECTORS_PER_BLOCK", 20)
+    plan = K.knn(many, there, 5)
+    want = [(q.qid, n, r + 1) for q in many.collect() for r, (_, n) in enumerate(sorted((-dot(q.vec, v.vec), v.node) for v in there.collect() if v.vec)[:5])]
+    assert [(r.qid, r.node, r.rank) for r in plan.orderBy("qid", "rank").collect()] == sorted(want, key=lambda t: (t[0], t[2]))
+    longer = K.knn(many.union(many.selectExpr("qid + 40", "vec")), there, 5)
+    assert len(longer._jdf.queryExecution().optimizedPlan().toString()) < 1.4 * len(plan._jdf.queryExecution().optimizedPlan().toString())
+    monkeypatch.setattr(K, "QUESTIONS_PER_BLOCK", 1)
     pairs = same.selectExpr("struct(cast(50 - node as string) as a, node as b) as node", "vec")
     assert [r.node.a for r in K.knn(asked, pairs, 3).where("qid = 1").orderBy("rank").collect()] == ["1", "10", "11"]
     assert K.knn(asked.limit(0), same, 3).count() == 0 and K.knn(asked, same.limit(0), 3).count() == 0
