@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Registry:
@@ -68,9 +69,9 @@ class HashingEncoder(Encoder):
     def encode_corpus(self, texts, images):
         out = np.zeros((len(texts), self.dim))
         for row, text, paths in zip(out, texts, images, strict=True):
-            for word in [*re.findall(r"\w+", (text or "").lower()), *paths]:
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-                row[h % self.dim] += 1 if h >> 63 else -1
+            for word in [*re.findall(r"[a-z0-9]+", (text or "").lower()), *paths]:
+                h = int(hashlib.md5(word.encode()).hexdigest()[:12], 16)
+                row[h // 2 % self.dim] += 1 if h % 2 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 
@@ -95,20 +96,31 @@ def encode(df: DataFrame, encoder: Callable[[], Encoder], text_col: str = "text"
 
 
 def generate(prompt: Column, model: Callable[[], Callable[[str], str]]) -> Column:
-    """What a language model answers to each prompt; model makes a function from prompt to answer on each worker.  An error answers the empty string."""
+    """What a language model answers to each prompt; model makes a function from prompt to answer on each worker.  A prompt that fails answers the empty string."""
+    return generated(prompt, model)["answer"]
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+_ANSWER = T.StructType().add("answer", "string").add("error", "string")
+
+
+def generated(prompt: Column, model: Callable[[], Callable[[str], str]]) -> Column:
+    """(answer, error): generate() with what went wrong, null if nothing did.
+
+    A model that can't be made at all is an error of the job.
+    """
+
+    @F.pandas_udf(_ANSWER)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ask = model()
 
-        def one(p):
+        def one(p) -> tuple[str, str | None]:
             try:
-                return ask(p)
-            except Exception:  # as one prompt too long must not end the job
-                return ""
+                return ask(p), None
+            except Exception as e:  # as one prompt too long must not end the job
+                return "", f"{type(e).__name__}: {e}"
 
         for batch in batches:
-            yield batch.map(one)
+            yield pd.DataFrame([one(p) for p in batch], columns=["answer", "error"], dtype=object)
 
     return run(prompt)
 

@@ -344,3 +344,15 @@ def with_cell_images(tables: DataFrame, thumbs: DataFrame, files: DataFrame, key
     both = tables.join(maps, keys, "left").withColumn("_files", F.coalesce("_files", F.create_map().cast("map<string,string>")))
     both = both.withColumn("cells", F.transform("cells", lambda row: F.transform(row, name)))
     return both.withColumn("refs", F.transform_values("refs", lambda _, c: name(c))).drop("_files")
+
+
+def table_edges(tables: DataFrame, titles: DataFrame, documents: DataFrame, site: str = SITE) -> DataFrame:
+    """(doc, cid, place, text, hyperlink, edge): the links in cells and references of tables that point to documents.
+
+    Cells and references have links, an array of (text, hyperlink); place is row,column from 1, or ref and its name.
+    """
+    at = F.flatten(F.transform("cells", lambda row, i: F.transform(row, lambda c, j: F.struct(F.concat_ws(",", i + 1, j + 1).alias("place"), c["links"].alias("links")))))
+    named = F.transform(F.map_entries("refs"), lambda e: F.struct(F.concat(F.lit("ref "), e["key"]).alias("place"), e["value"]["links"].alias("links")))
+    each = tables.select("doc", "cid", F.explode(F.concat(at, F.coalesce(named, F.slice(at, 1, 0)))).alias("c"))
+    links = each.select("doc", "cid", "c.place", F.explode("c.links").alias("link")).select("doc", "cid", "place", "link.text", "link.hyperlink")
+    return dereference(links, titles, documents, site=site)

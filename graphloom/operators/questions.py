@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import llm_text
-from ..functions.models import Encoder, encode, generate
+from ..functions.models import Encoder, encode, generate, generated
 from .corpus import pending
 
 DECOMPOSE = (
@@ -72,6 +72,6 @@ def collected(subqueries: DataFrame) -> DataFrame:
 
 
 def answer_questions(prompts: DataFrame, model: Callable) -> DataFrame:
-    """(qid, predicted_answer, raw): what a model answers to prompts (qid, prompt), cut down to the answer's values."""
-    raw = prompts.select("qid", generate(F.col("prompt"), model).alias("raw"))
-    return raw.select("qid", llm_text.answer_values(F.col("raw")).alias("predicted_answer"), "raw")
+    """(qid, predicted_answer, raw, error): what a model answers to prompts (qid, prompt), cut down to the answer's values, and what went wrong, if anything."""
+    raw = prompts.select("qid", generated(F.col("prompt"), model).alias("said"))
+    return raw.select("qid", llm_text.answer_values(F.col("said.answer")).alias("predicted_answer"), F.col("said.answer").alias("raw"), "said.error")

@@ -126,16 +126,40 @@ def breakdown(scored: DataFrame, categories: list[str]) -> DataFrame:
     return rows.groupBy("part.category", "part.value").agg((F.avg("em") * 100).alias("em"), (F.avg("f1") * 100).alias("f1"), F.count("*").alias("n"))
 
 
-MULTI_HOP = ("compose", "intersect", "compare", "bridge")
+#: Question types with the modalities of their first and second hop; those of one hop have no second.
+HOPS = {
+    "TextQ": ("text", None),
+    "TableQ": ("table", None),
+    "ImageQ": ("image", None),
+    "ImageListQ": ("image", None),
+    "Compose(TableQ,ImageListQ)": ("image", "table"),
+    "Compose(TextQ,ImageListQ)": ("image", "text"),
+    "Compose(ImageQ,TableQ)": ("table", "image"),
+    "Compose(ImageQ,TextQ)": ("text", "image"),
+    "Compose(TextQ,TableQ)": ("table", "text"),
+    "Compose(TableQ,TextQ)": ("text", "table"),
+    "Intersect(TableQ,TextQ)": ("text", "table"),
+    "Intersect(ImageListQ,TableQ)": ("image", "table"),
+    "Intersect(ImageListQ,TextQ)": ("text", "image"),
+    "Compare(Compose(TableQ,ImageQ),TableQ)": ("image", "table"),
+    "Compare(Compose(TableQ,ImageQ),Compose(TableQ,TextQ))": ("image", "text"),
+    "Compare(TableQ,Compose(TableQ,TextQ))": ("text", "table"),
+}
+_COMBINES = "(?i)compose|intersect|compare|bridge"
+
+
+def hops(question_type: Column) -> Column:
+    """A struct (first, second) of the modalities of a known question type's hops; null for others."""
+    pair = lambda v: F.struct(F.lit(v[0]).cast("string").alias("first"), F.lit(v[1]).cast("string").alias("second"))
+    known = F.create_map(*[x for k, v in HOPS.items() for x in (F.lit(k), pair(v))])
+    return F.try_element_at(known, question_type)
 
 
 def hop(question_type: Column) -> Column:
-    """multi if the question type combines others, else single."""
-    t = F.lower(question_type)
-    combined = F.lit(False)
-    for word in MULTI_HOP:
-        combined = combined | t.contains(word)
-    return F.when(combined, "multi").otherwise("single")
+    """multi if the question type has a second hop or, where it isn't known, if its name says that it combines others; else single."""
+    known = hops(question_type)
+    many = F.when(known.isNotNull(), known["second"].isNotNull()).otherwise(question_type.rlike(_COMBINES))
+    return F.when(many, "multi").otherwise("single")
 
 
 def _plain(x: Column) -> Column:

@@ -111,19 +111,6 @@ def answer_numeric_tolerance(spark, sf_dir):
     return part.select("p_partkey", T.answers_match(guess, golds).alias("matched"))
 
 
-def _scored(spark, sf_dir):
-    """Answers of documents' first words against those of the document before; the labels are the categories."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text"), "lang")
-    words = F.slice(F.split("text", " "), 1, 3)
-    gold = docs.select(F.col("doc_id").alias("qid"), F.array(F.array(F.array_join(words, " ")), F.slice(F.split("text", " "), 2, 2)).alias("references"))
-    made = docs.where("doc_id % 5 <> 4").select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 2 == 0, F.array(F.array_join(words, " "))).otherwise(F.slice(F.split("text", " "), 2, 3)).alias("answers"), F.lit(1).alias("line"))
-    return T.score_answers(gold, made)
-
-
-def answer_em_f1(spark, sf_dir):
-    return _scored(spark, sf_dir)
-
-
 def metrics_grouping_sets(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = labels.select((F.col("quality") * 1.0).cast("double").alias("em"), (F.col("toxic") * 1.0).cast("double").alias("f1"), "quality", "toxic", F.when(F.col("doc_id") % 2 == 0, "single").otherwise("multi").alias("hop"))
@@ -141,7 +128,7 @@ _NEAR = f"""{_G}, near as (select qid, node, row_number() over (partition by qid
 comp as (select qid, 'd' || (node // 20) as doc, 'p_' || (node // 5) as cid, row_number() over (partition by qid order by min(r))::int as rank from near group by qid, node // 20, node // 5),
 page as (select qid, doc, row_number() over (partition by qid order by min(rank))::int as rank from comp group by qid, doc),
 gold as (select distinct q.qid, e.top as node from (select node as qid, label from emb where node % 25 = 0) q join emb e on e.label = q.label)"""
-QUERIES = {f.__name__: f for f in (parse_results_top50, parse_results_pages, parse_results_baseline, mrr_at_10, recall_at_3, component_recall_mrr, page_recall_tolerance, run_sweep, modality_parse, subquery_parse, answer_postprocess, answer_numeric_tolerance, answer_em_f1, metrics_grouping_sets, predicted_numbers)}
+QUERIES = {f.__name__: f for f in (parse_results_top50, parse_results_pages, parse_results_baseline, mrr_at_10, recall_at_3, component_recall_mrr, page_recall_tolerance, run_sweep, modality_parse, subquery_parse, answer_postprocess, answer_numeric_tolerance, metrics_grouping_sets, predicted_numbers)}
 _PRICE = "floor(p_retailprice)::bigint"
 _GUESS = f"trunc({_PRICE} + {_PRICE} * (p_partkey % 9 - 4) * 2 / 100)::bigint"
 ORACLES = {

@@ -50,8 +50,8 @@ def page_targets(images: DataFrame) -> DataFrame:
     return images.where(readable(F.col("content"))).select(F.col("name").alias("file"), F.lit("").alias("target"), F.array("path").alias("images"))
 
 
-def read_yaml(path: str, root: str) -> dict:
-    """A YAML file with ${REPO_ROOT} replaced in all of its strings.  Read by the driver: settings only."""
+def parse_yaml(text: str, root: str) -> dict:
+    """YAML with ${REPO_ROOT} replaced in all of its strings."""
     import yaml
 
     def put(x):
@@ -61,8 +61,13 @@ def read_yaml(path: str, root: str) -> dict:
             return [put(v) for v in x]
         return re.sub(r"\$\{REPO_ROOT\}", lambda _: root, x) if isinstance(x, str) else x
 
+    return put(yaml.safe_load(text))
+
+
+def read_yaml(path: str, root: str) -> dict:
+    """A YAML file that the driver sees; settings only."""
     with open(path, encoding="utf-8") as f:
-        return put(yaml.safe_load(f))
+        return parse_yaml(f.read(), root)
 
 
 def embedding_shards(parts: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
@@ -74,6 +79,31 @@ def embedding_shards(parts: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     return out
 
 
+def checked_shards(parts: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """embedding_shards(), after a check that each shard has as many vectors as names; ValueError if one hasn't."""
+    sizes = None
+    for k, (vectors, names) in enumerate(parts):
+        n = vectors.agg(F.lit(k).alias("shard"), F.count("*").alias("vectors")).join(names.agg(F.lit(k).alias("shard"), F.count("*").alias("names")), "shard")
+        sizes = n if sizes is None else sizes.unionByName(n)
+    odd = sizes.where("vectors <> names").orderBy("shard").collect()
+    if odd:
+        raise ValueError("; ".join(f"shard {r.shard} has {r.vectors} vectors and {r.names} names" for r in odd))
+    return embedding_shards(parts)
+
+
+def merged_lines(shards: list[DataFrame], line_col: str = "line") -> DataFrame:
+    """Lines of several writers as one file's: those of each shard behind those of the ones before, with line counted through.
+
+    A shard's lines are counted from 0 without gaps; the offsets are one number for each shard.
+    """
+    out, first = None, 0
+    for part in shards:
+        moved = part.withColumn(line_col, F.col(line_col).cast("bigint") + F.lit(first))
+        first += part.count()
+        out = moved if out is None else out.unionByName(moved)
+    return out
+
+
 def inverted(index: DataFrame, key: str, value: str) -> DataFrame:
     """(value, key): an index read the other way; of keys with one value, the smallest."""
     return index.groupBy(value).agg(F.min(key).alias(key))

@@ -48,3 +48,50 @@ def save_config(spark, config: dict, path: str) -> None:
 def formatted(df: DataFrame) -> DataFrame:
     """Fractions as text of four decimals, for reports."""
     return df.select(*[F.format_string("%.4f", F.col(f.name)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in df.schema])
+
+
+def _folder(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def replaced(df: DataFrame, path: str) -> DataFrame:
+    """The table at path with df in its place, which may be made from it: written beside it first, then swapped by renaming.
+
+    A run that fails before the swap leaves the old table as it was.
+    """
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}_new")
+    old, files = _folder(spark, path)
+    new, _ = _folder(spark, f"{path}_new")
+    aside, _ = _folder(spark, f"{path}_old")
+    files.delete(aside, True)
+    if files.exists(old):
+        files.rename(old, aside)
+    files.rename(new, old)
+    files.delete(aside, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def artifact(spark, source: str, path: str) -> DataFrame:
+    """The working copy at path of the table at source, which stays as it is; made on first use."""
+    if not exists(spark, path):
+        guarded(spark.read.parquet(source), path)
+    return spark.read.parquet(path)
+
+
+def write_file(spark, path: str, data: bytes) -> None:
+    """A small file, such as settings or a picture, in whatever store the path is of."""
+    p, files = _folder(spark, path)
+    out = files.create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def read_settings(spark, path: str, root: str = "") -> dict:
+    """A YAML or JSON file of settings in whatever store the path is of, with ${REPO_ROOT} replaced."""
+    from .readers import parse_yaml
+
+    return parse_yaml(spark.read.text(path, wholetext=True).first()[0], root)
