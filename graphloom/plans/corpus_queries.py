@@ -335,6 +335,15 @@ sent as (select doc, cid as para, cid || '_s' || k as cid, (k - 1)::int as pos,
     case when len(regexp_extract_all(text, '[^.!?]+[.!?]*\s*')) > 0 then regexp_extract_all(text, '[^.!?]+[.!?]*\s*') else [text] end as l from para)) where s <> ''),
 edge as (select doc, cid as para, o as start, o + 7 as "end", substr(text, o + 1, 7) as text, 'd' || o % 100 || '.json' as edge, '/wiki/d' || o % 100 as hyperlink
     from (select *, unnest(range(0, length(text) - 6, 40))::int as o from para where length(text) >= 7))"""
+def _unescaped(x):
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("#39", "''"), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{char}', 'g')"
+    return x
+
+
+_PAGES = rf"""with t as (select page_id, {_unescaped("x")} as x, {_unescaped("y")} as y from (
+    select page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) as x, regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)(?:</article>|$)', 1), '<[^>]*>', ' ', 'g') as y from pages)),
+p as (select page_id, trim(x) as title, trim(regexp_replace(y, '[ \n\t]+', ' ', 'g')) as said from t)"""
 _TBL = """with line as (select l_orderkey as doc, row_number() over (partition by l_orderkey order by l_linenumber, {full}) as k, ('Part , no ' || l_partkey) as part,
     case when l_partkey % 3 = 0 then 'img/p' || l_partkey % 7 || '.png' end as img, 'S' || l_suppkey as supp, l_returnflag = 'R' as ret, l_linestatus as st from lineitem),
 cell as (select doc, k, 2 * k as o, img as path from line where img is not null union all select doc, k, 2 * k + 1, 'img/r.png' from line where ret)"""
@@ -438,4 +447,18 @@ select qid, case when count(shown) > 0 then {_sql(serialize.WITH_IMAGES)} else {
 w as (select *, regexp_extract_all(question, '[A-Za-z]{6,}') as w from q), r as (select qid, case when len(w) > 0 then w else [question] end as w from w)
 select qid, (k - 1)::int as sq_pos, qid || '___' || (k - 1) as sqid, w[k] as subquery from (select *, unnest(range(1, len(w) + 1)) as k from r)""",
     "baseline_pages": "select l_orderkey as qid, 'doc_x' as doc, 'doc_x_' || l_partkey as page, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey || '.jpeg')::int as rank from lineitem",
+    "table_chunks": f"""{_TBL.replace("with line", "with recursive line", 1)}, num as (select doc, path, min(o) as o, row_number() over (partition by doc order by min(o)) as n from cell group by doc, path),
+fresh as (select doc, o // 2 as k, list(n order by n) as ns, string_agg('<Image ' || n || '> ' || path[5:] || ' [SEP] ', '' order by n) as lines from num group by doc, o // 2),
+body as (select l.doc, l.k, {_ROW} as t, {_HEAD} as head from line l left join num i on i.doc = l.doc and i.path = l.img left join num r on r.doc = l.doc and r.path = 'img/r.png'),
+cost as (select body.*, ns, lines, len(list_filter(string_split(head, ' '), lambda x: x <> '')) as base, len(list_filter(string_split(t, ' '), lambda x: x <> '')) + 4 * coalesce(len(ns), 0) as n from body left join fresh using (doc, k)),
+dealt as (select doc, k, 1 as chunk, base + n as used from cost where k = 1
+    union all select c.doc, c.k, case when used + n > 40 then chunk + 1 else chunk end, case when used + n > 40 then base + n else used + n end from dealt d join cost c on c.doc = d.doc and c.k = d.k + 1)
+select doc, 't_1_c' || chunk as cid, trim(any_value(head) || string_agg(t, '' order by k)) || coalesce(trim(string_agg(lines, '' order by k)), '') as target,
+    array_to_string(coalesce(flatten(list(ns order by k) filter (where ns is not null)), []), ',') as images from cost join dealt using (doc, k) group by doc, chunk""",
+    "html_blocks": f"{_PAGES} select page_id, 0 as pos, 'h1_1' as cid, 'title' as kind, title, '' as section, title as text from p union all select page_id, 1, 'po_1', 'passage', title, '', ' ' || said from p where said <> ''",
+    "page_components": f"{_PAGES}, c as (select count(*) as n, count(*) / count(distinct page_id) as per_doc from p where said <> '') select 'text' as modality, * from c union all select 'all', * from c",
+    "encode_components": """with w as (select item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark), h as (select item_id, ('0x' || substr(md5(w), 1, 12))::bigint as h from w),
+v as (select item_id, h // 2 % 64 as d, sum(case when h % 2 = 1 then 1 else -1 end) as n from h group by all),
+a as (select item_id, d, coalesce(n, 0) as n from (select item_id, unnest(range(64)) as d from benchmark) left join v using (item_id, d))
+select item_id, 64::int as dim, min(d + 1) as at from a join (select item_id, max(n) as n from a group by item_id) using (item_id, n) group by item_id""",
 }
