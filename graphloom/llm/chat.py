@@ -146,6 +146,7 @@ def read_back(windows: DataFrame) -> DataFrame:
 
 
 def op9_chat(spark, sf_dir: str) -> DataFrame:
+    """All conversations and -7 formatted in windows and read back: null texts are empty, repeated rows are turns of their own."""
     given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     extra = spark.range(2).select(

@@ -115,6 +115,7 @@ def ablation(ledger: DataFrame, policy: str) -> DataFrame:
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
+    """The ledger of all documents under the base rules and policy v1: null and empty texts fail as too short, repeated rows give repeated rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     judged = apply_policy(ledger(docs), "v1")
     base = F.col("fail_bits").bitwiseAND(F.lit(policy_mask("base")).cast("bigint")) != 0
@@ -141,3 +142,18 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     (fail_bits & {policy_mask("base")}) <> 0 as base_failed, (fail_bits & {policy_mask("v1")}) = 0 as kept,
     fail_bits, n_lines, n_alpha_words, longest_word, n_ellipsis_lines, n_bullet_lines from f
 """
+
+
+def quality_ablation(spark, sf_dir: str) -> DataFrame:
+    """ablation() of policy v1 over all documents: each rule's row, and what it rejects alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return ablation(ledger(docs), "v1")
+
+
+_MASK = policy_mask("v1")
+_RULES = ", ".join(f"('{name}', {1 << k}::bigint)" for k, (name, _) in enumerate(RULES) if _MASK >> k & 1)
+ABLATION_SQL = f"""
+with l as (select fail_bits & {_MASK} as bits from ({OP2_SQL}))
+select rule, count(*) filter (bits & bit <> 0) as n_failed, count(*) filter (bits = bit) as n_only, count(*) as n_rows, count(*) filter (bits = 0) as n_kept
+from l, (values {_RULES}) r(rule, bit) group by rule
+"""

@@ -7,6 +7,7 @@ from . import chat, digests, langid, mixing, pieces, quality, secrets, simhash,
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_quality": quality.op2_quality,
+    "quality_ablation": quality.quality_ablation,
     "op3_mixing": mixing.op3_mixing,
     "op4_fingerprints": digests.op4_fingerprints,
     "op5_substrings": substrings.op5_substrings,
@@ -20,6 +21,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_quality": quality.OP2_SQL,
+    "quality_ablation": quality.ABLATION_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "substrings_reference": substrings.REFERENCE_SQL,
     "op9_chat": chat.OP9_SQL,

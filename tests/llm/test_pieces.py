@@ -16,24 +16,30 @@ def pieces():
         return P.Pieces(f.read())
 
 
-def brute(p, text):
-    """Viterbi over all prefixes, as plain as can be."""
-    if not text:
-        return []
-    data = b" " + text.encode()
+def vocabulary(p):
     own = {}
     for k in range(p.size):
         own[bytes(p.bytes[p.starts[k] : p.starts[k] + p.lengths[k]])] = k
     for b, k in enumerate(p.byte_ids.tolist()):
         if own.get(bytes([b])) == k:
             del own[bytes([b])]
+    return own
+
+
+def brute(p, text, own=None):
+    """Viterbi over all prefixes, as plain as can be."""
+    if not text:
+        return []
+    data = b" " + text.encode()
+    own = own or vocabulary(p)
+    longest = max(map(len, own))
     best = [(-1e300, 0, [])] * (len(data) + 1)
     best[0] = (0.0, 0, [])
     for i in range(len(data)):
         if data[i] & 0xC0 == 0x80:
             continue
         width = 1 if data[i] < 0x80 else 2 if data[i] < 0xE0 else 3 if data[i] < 0xF0 else 4
-        options = [(j, [own[data[i:j]]], p.scores[own[data[i:j]]]) for j in range(i + 1, min(len(data), i + 64) + 1) if data[i:j] in own]
+        options = [(j, [own[data[i:j]]], p.scores[own[data[i:j]]]) for j in range(i + 1, min(len(data), i + longest) + 1) if data[i:j] in own]
         if not any(j == i + width for j, *_ in options):
             options.append((i + width, [int(p.byte_ids[b]) for b in data[i : i + width]], p.scores[p.size]))
         for j, ids, gain in options:
@@ -122,5 +128,10 @@ def test_query(spark, data, pieces):
     assert len(got) == len(rows) and all(r.round_trip for r in got.values())
     for r in rows:
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
-        if len(r.text) < 300:
-            assert got[r.doc_id].n_pieces == len(brute(pieces, r.text))
+    own = vocabulary(pieces)
+    ids = {r.doc_id: r.pieces for r in P.encode(spark.read.parquet(f"{data}/documents.parquet")).collect()}
+    for r in rows:
+        mine = ids[r.doc_id]
+        assert got[r.doc_id].ids_sha256 == hashlib.sha256(np.array(mine, "<i4").tobytes()).hexdigest() and got[r.doc_id].n_pieces == len(mine)
+        want = brute(pieces, r.text, own)
+        assert mine == want or abs(total(pieces, mine) - total(pieces, want)) < 1e-6 * max(1.0, abs(total(pieces, want))), r.doc_id

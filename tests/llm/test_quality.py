@@ -72,3 +72,7 @@ def test_policies_and_ablations(spark):
 
 def test_like_sql(spark, data):
     assert not oracles.differences(Q.op2_quality(spark, data), oracles.connection(data), Q.OP2_SQL)
+
+
+def test_ablation_like_sql(spark, data):
+    assert not oracles.differences(Q.quality_ablation(spark, data), oracles.connection(data), Q.ABLATION_SQL)
