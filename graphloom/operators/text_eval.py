@@ -93,7 +93,10 @@ def list_f1(predicted: list[str], gold: list[str]) -> float:
     if not longer:
         return 0.0
     scores = np.array([[_f1(a, b) for b in p] for a in g]).reshape(len(g), len(p))
-    total = sum(scores[r, c] for r, c in assignment(scores)) if scores.size else 0.0
+    if min(scores.shape) < 2:
+        total = scores.max(initial=0.0)
+    else:
+        total = sum(scores[r, c] for r, c in assignment(scores))
     return round(total / longer, 2)
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import config
 from ..checkpoints import shared_folder
-from ..functions import models
+from ..functions import models, pixels
 from ..operators import corpus as C
 from ..operators import evaluate, questions, steps, validate, vision
 from ..operators import retrieve as R
@@ -402,12 +404,49 @@ def validation_report(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, lines int, code int")
 
 
+@F.pandas_udf("binary")
+def _painted(width: pd.Series, height: pd.Series, blue: pd.Series) -> pd.Series:
+    """Pictures whose red grows to the right and green downwards."""
+
+    def one(w, h, b):
+        y, x = np.mgrid[0:h, 0:w]
+        return pixels.encoded(np.stack((x % 256, y % 256, np.full((h, w), b % 256)), axis=2).astype(np.uint8))
+
+    return pd.Series([one(*r) for r in zip(width, height, blue, strict=True)])
+
+
+@F.pandas_udf("array<long>")
+def _sums(content: pd.Series) -> pd.Series:
+    return content.map(lambda c: None if c is None else pixels.decoded(c).astype(np.int64).sum(axis=(0, 1)).tolist())
+
+
+def _pictures(spark, sf_dir, blue):
+    p = _read(spark, sf_dir, "part")
+    content = F.when(F.col("p_partkey") % 17 == 0, F.lit(b"broken")).otherwise(_painted(F.col("p_size") + 10, F.col("p_partkey") % 20 + 30, blue))
+    return p.select(F.col("p_partkey").cast("string").alias("image"), content.alias("content"))
+
+
+def cut_images(spark, sf_dir):
+    """Boxes cut out of parts' pictures, one of them reaching over the edge, with the sums of their colours."""
+    p = _read(spark, sf_dir, "part").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    x1 = F.when(F.col("k") == 1, 2.0).otherwise(F.col("p_size") + 5.0)
+    boxes = p.select(F.col("p_partkey").cast("string").alias("image"), F.concat("k", F.lit("_a.png")).alias("name"), x1.alias("x1"), F.lit(3.0).alias("y1"), (x1 + 8).alias("x2"), F.lit(13.0).alias("y2"))
+    made = vision.cut_outs(_pictures(spark, sf_dir, F.col("p_partkey")), boxes)
+    return made.select("image", "name", "width", "height", F.array_join(_sums("content"), ",").alias("sums"), "error")
+
+
+def resize_images(spark, sf_dir):
+    """Parts' pictures within a square of 16 pixels; blue is the same all over and stays so."""
+    made = vision.resized_images(_pictures(spark, sf_dir, F.lit(77)), 16)
+    return made.select("image", "width", "height", F.get(_sums("content"), 2).alias("blue"), "error")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         json_lines, json_overwrite, documents_folder, document_problems, optional_shards, run_settings, parsed_pages_cache, images_as_pages, qa_pages, qa_components, qa_files, latest_answers, merged_answers, index_inversion, shard_merge,
         seeded_artifact, report_format, saved_index, subimage_paths, image_summaries, failed_prompts, encoding_subset, encode_vectors, question_assembly, vectors_of_modes, decompose_limited, run_names, registries, retrieve_paths, generate_answers,
-        evaluate_web, evaluate_pages, page_answers, evaluate_answers_web, answer_em_f1, answer_lists, question_hops, table_edges, corpus_build, corpus_edges, validation_report,
+        evaluate_web, evaluate_pages, page_answers, evaluate_answers_web, answer_em_f1, answer_lists, question_hops, table_edges, corpus_build, corpus_edges, validation_report, cut_images, resize_images,
     )
 }
 QUERIES |= {
@@ -502,4 +541,11 @@ select unnest(['links', 'segments', 'sentences', 'edges', 'lines', 'vectors']) a
 low as (select e.doc, s.cid, e.hyperlink from edge e join placed s on s.doc = e.doc and s.para = e.para and o <= start and "end" <= o + length(s.text) qualify row_number() over (partition by e.doc, e.para, start order by o, pos) = 1)
 select cid, edge, count(*) as n from (select doc, para as cid, hyperlink as edge from edge union select * from low) group by all""",
     "validation_report": _values([("s", 1, 0), ("t", 6, 1), ("u", 1, 1)], "name, lines, code"),
+    "cut_images": """with b as (select p_partkey, p_size + 10 as w, k, case when k = 1 then 2 else p_size + 5 end as x, p_partkey % 17 = 0 as bad from part, (values (1), (2)) v(k)),
+s as (select *, least(x + 8, w) - x as n from b)
+select p_partkey::varchar as image, k || '_a.png' as name, case when not bad then 8::int end as width, case when not bad then 10::int end as height,
+    case when not bad then 10 * (n * x + n * (n - 1) // 2) || ',' || n * 75 || ',' || n * 10 * (p_partkey % 256) end as sums, case when bad then 'no PNG file' end as error from s""",
+    "resize_images": """with b as (select p_partkey, (p_size + 10)::double as w, (p_partkey % 20 + 30)::double as h, p_partkey % 17 = 0 as bad from part),
+r as (select *, least(16.0::double / w, 16.0::double / h) as r from b), f as (select *, greatest(trunc(w * r), 1)::int as fw, greatest(trunc(h * r), 1)::int as fh from r)
+select p_partkey::varchar as image, case when not bad then fw end as width, case when not bad then fh end as height, case when not bad then 77 * fw::bigint * fh end as blue, case when bad then 'no PNG file' end as error from f""",
 }
