@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from .. import config
 from ..checkpoints import shared_folder
@@ -404,7 +405,7 @@ def validation_report(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, lines int, code int")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(types.BinaryType())
 def _painted(width: pd.Series, height: pd.Series, blue: pd.Series) -> pd.Series:
     """Pictures whose red grows to the right and green downwards."""
 
@@ -415,7 +416,7 @@ def _painted(width: pd.Series, height: pd.Series, blue: pd.Series) -> pd.Series:
     return pd.Series([one(*r) for r in zip(width, height, blue, strict=True)])
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(types.ArrayType(types.LongType()))
 def _sums(content: pd.Series) -> pd.Series:
     return content.map(lambda c: None if c is None else pixels.decoded(c).astype(np.int64).sum(axis=(0, 1)).tolist())
 
