@@ -15,7 +15,7 @@ OTHER, SEED = 0.4, 20240301
 #: sums of Poisson numbers are Poisson numbers; so no table grows with the corpus.
 SHARE = 32.0
 #: The most copies of a document, on average, that can be asked for; beyond it mix() raises.
-MOST = 1_000_000.0
+MOST = 10_000_000.0
 
 
 def rates(docs: DataFrame, weights: dict[str, float], other: float, epochs: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -38,7 +38,8 @@ def test_tiny_source_and_rows_without_id(spark):
     assert {r.source: r.rows for r in made}["one"] > 1000 and all(r["keys"] == r.rows for r in made)
 
 
-def test_too_many_copies_raise(spark):
+def test_too_many_copies_raise(spark, monkeypatch):
+    monkeypatch.setattr(M, "MOST", 1_000_000.0)
     docs = spark.createDataFrame([(1, "x" * 4_000_000, "a"), (2, "", "b")], "doc_id bigint, text string, source string")
     with pytest.raises(Exception, match="more than 1000000.0 copies of each document of b"):
         M.mix(docs, {"b": 0.5}, 0.5).count()
