@@ -14,7 +14,7 @@ from ..functions import models
 from ..operators import corpus as C
 from ..operators import evaluate, layout, questions, serialize, validate, vision
 from ..operators import rank_eval as E
-from ..sources import html
+from ..sources import html, sinks
 from ..streaming.ingest import ingest, paragraphs
 
 
@@ -318,7 +318,10 @@ def stream_sentences(spark, sf_dir):
     from ..checkpoints import shared_folder
 
     out = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    ingest(spark, sf_dir, spark.read.parquet(f"{sf_dir}/documents.parquet").schema, out, "documents.parquet").awaitTermination()
+    path = f"{sf_dir}/documents.parquet"
+    # A table is one file or a folder of files.
+    folder, pattern = (path, "*") if sinks.is_folder(spark, path) else (sf_dir, "documents.parquet")
+    ingest(spark, folder, spark.read.parquet(path).schema, out, pattern).awaitTermination()
     return spark.read.parquet(f"{out}/sentences").drop("batch")
 
 

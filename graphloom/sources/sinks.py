@@ -21,6 +21,11 @@ def exists(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def is_folder(spark, path: str) -> bool:
+    p, files = _folder(spark, path)
+    return files.exists(p) and files.getFileStatus(p).isDirectory()
+
+
 def guarded(df: DataFrame, path: str, force_overwrite: bool = False) -> None:
     """Parquet in a folder that is not there yet; FileExistsError if it is, unless it may be overwritten."""
     if not force_overwrite and exists(df.sparkSession, path):

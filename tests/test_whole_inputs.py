@@ -62,3 +62,12 @@ def test_baseline_pages_reads_all_lines(spark, tmp_path):
     path = written(spark, tmp_path, "lineitem", lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint")
     got = {(r.qid, r.page, r["rank"]) for r in Q.baseline_pages(spark, path).collect()}
     assert got == {(k, f"doc_x_{part}", n) for k, n, part in lines}
+
+
+def test_stream_reads_a_table_of_several_files(spark, data, tmp_path):
+    from graphloom.plans import corpus_queries
+
+    spark.read.parquet(f"{data}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    made = corpus_queries.stream_sentences(spark, str(tmp_path))
+    want = corpus_queries.sentence_split(spark, str(tmp_path))
+    assert made.count() == want.count() > 0 and made.exceptAll(want).isEmpty()
