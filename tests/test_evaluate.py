@@ -122,3 +122,14 @@ def test_breakdown_and_hops(spark):
 def test_sweep(spark):
     runs = spark.createDataFrame([("m_ni1_bw5", "s", 1.0, 10.0), ("m_ni1_bw5", "s", 3.0, 20.0), ("other", "s", 9.0, 9.0)], "name string, dataset string, score double, ms double")
     assert E.sweep(runs, {"s": 100.0}).first()[:] == ("s", 1, 5, 2.0, 115.0)
+
+
+def test_scores_of_long_texts_read_each_once(spark, monkeypatch):
+    """A predicted text is split into words once, whatever it is compared with; tokens are looked up, not made again."""
+    made = []
+    monkeypatch.setattr(T, "words", lambda text: made.append(text) or text.lower().split())
+    assert T._best(["a b c"], [["a b c"], ["x"], None]) == (1.0, 1.0) and T._best(None, [["x"]]) == (0.0, 0.0)
+    assert made == ["a b c", "a b c", "x"]
+    calls = []
+    kept = T._Kept(lambda token: calls.append(token) or [token])
+    assert [kept[w] for w in ["u", "v", "u", "y" * 100, "y" * 100]] and calls == ["u", "v", "y" * 100, "y" * 100]
