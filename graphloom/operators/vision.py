@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..checkpoints import spread
 from ..functions import llm_text, pixels
 from ..functions.models import generate
 from .corpus import pending
@@ -100,7 +101,9 @@ def cut_outs(images: DataFrame, boxes: DataFrame) -> DataFrame:
         rows = [_image(lambda c=c, box=box: pixels.cut(read(c), box)) for c, *box in zip(content, x1, y1, x2, y2, strict=True)]
         return pd.DataFrame(rows, columns=_IMAGE.names, dtype=object)
 
-    both = boxes.join(images.select(F.col("image").alias("_i"), "content"), F.col("image") == F.col("_i"))
+    # Never a broadcast: images are far larger than the table that they may be made from, whose size the planner goes by.
+    held = spread(images.select(F.col("image").alias("_i"), "content"), "_i").hint("merge")
+    both = spread(boxes, "image").join(held, F.col("image") == F.col("_i"))
     return both.select("image", "name", run("content", "x1", "y1", "x2", "y2").alias("v")).select("image", "name", "v.*")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from .. import config
-from ..checkpoints import shared_folder
+from ..checkpoints import shared_folder, spread
 from ..functions import models, pixels
 from ..operators import corpus as C
 from ..operators import evaluate, questions, steps, validate, vision
@@ -422,7 +422,7 @@ def _sums(content: pd.Series) -> pd.Series:
 
 
 def _pictures(spark, sf_dir, blue):
-    p = _read(spark, sf_dir, "part")
+    p = spread(_read(spark, sf_dir, "part"), "p_partkey")  # a picture takes longer to paint than its row to read
     content = F.when(F.col("p_partkey") % 17 == 0, F.lit(b"broken")).otherwise(_painted(F.col("p_size") + 10, F.col("p_partkey") % 20 + 30, blue))
     return p.select(F.col("p_partkey").cast("string").alias("image"), content.alias("content"))
 

@@ -55,3 +55,11 @@ def test_cut_and_resize():
     for bad in (b"", b"GIF89a", P.SIGNATURE):
         with pytest.raises(ValueError):
             P.decoded(bad)
+
+
+def test_images_are_never_broadcast(spark, data):
+    """The join of boxes with images that are made from a small table sends no images to the driver."""
+    from graphloom.plans import file_queries
+
+    plan = file_queries.cut_images(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
