@@ -195,3 +195,42 @@ def test_retrieve_and_names(spark):
     with pytest.raises(ValueError, match="known are"):
         R.retrieve(*frames, mode="guess")
     assert R.run_name("m", "late_interaction", 10, 5) == "m_late_interaction_k10_bw5_1_hop"
+
+
+def test_search_holds_few_pairs_at_once(monkeypatch):
+    """Of each tile only pairs that may be among the best are kept and sorted, with the scores of dot(), equal ones and odd numbers too."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-3, 4, (5000, 16)).astype(np.float64) / 7
+    x[1000:1300] = x[:300]
+    q = x[rng.integers(0, 5000, 300)].copy()
+    nodes = rng.permutation(5000)
+    sizes = []
+    inner = K._best
+    monkeypatch.setattr(K, "_best", lambda i, s, n, k: sizes.append(len(i)) or inner(i, s, n, k))
+    for odd in (False, True):
+        if odd:
+            x[7, 3], x[8, 2] = np.inf, np.nan
+        batch = pa.RecordBatch.from_arrays([pa.array(nodes), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 16)], names=["node", "vec"])
+        ((i, s, found),) = K._search(q, np.full(len(q), -np.inf), [batch], 5)
+        if not odd:
+            assert max(sizes) < 100_000  # all pairs of a batch would be 614,400
+        with np.errstate(invalid="ignore"):
+            all_scores = K.ordered_products(q, x)
+        for row in range(0, 300, 37):
+            held = np.flatnonzero(all_scores[row] >= -np.inf)
+            want = held[np.lexsort((nodes[held], -all_scores[row][held]))][:5]
+            assert found.to_numpy()[i == row].tolist() == nodes[want].tolist() and s[i == row].tolist() == all_scores[row][want].tolist()
+
+
+def test_seed_beam_searches_further_only_where_it_must(spark, monkeypatch):
+    """A question whose first hits are all below one upper component is searched for all hits; the beam is the same."""
+    low = [(k, 0 if k < 70 else k - 69, [100.0 - k, 1.0]) for k in range(75)] + [(100 + k, 200 + k, [0.0, 50.0 - k]) for k in range(20)]
+    low = spark.createDataFrame(low, "node bigint, top bigint, vec array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "qid bigint, vec array<double>")
+    ks = []
+    inner = R.knn
+    monkeypatch.setattr(R, "knn", lambda q, c, k: ks.append((q.count(), k)) or inner(q, c, k))
+    got = {(r.qid, r.node, r["rank"]) for r in R.seed_beam(asked, low, 3).collect()}
+    assert ks == [(2, 48), (1, 2048)]
+    assert got == {(1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 200, 1), (2, 201, 2), (2, 202, 3)}
+    assert {(r.qid, r.node) for r in R.seed_beam(asked, low, 3, 60).collect()} == {(1, 0), (2, 200), (2, 201), (2, 202)}
