@@ -10,28 +10,31 @@ from . import rank_eval, text_eval
 KINDS = ("web", "page")
 
 
-def _golds(questions: DataFrame, value) -> DataFrame:
+def _golds(questions: DataFrame, value, evidences: DataFrame | None = None):
+    if evidences is not None:
+        return rank_eval.SharedGold(questions.select("qid", "gid"), evidences.select("gid", value(F.struct("doc", "cid")).alias("gold")))
     return questions.select("qid", F.transform("evidences", value).alias("golds"))
 
 
-def retrieval_accuracy(questions: DataFrame, results: DataFrame, kind: str, baseline: bool = False, k: int = 9, positions: DataFrame | None = None) -> DataFrame:
+def retrieval_accuracy(questions: DataFrame, results: DataFrame, kind: str, baseline: bool = False, k: int = 9, positions: DataFrame | None = None, evidences: DataFrame | None = None) -> DataFrame:
     """A row of recall and mrr of results (qid, units) against questions (qid, question, answers, evidences).
 
     Web sets count components, k of them, and ranks in threes; page sets count
     pages, recall among 3 and first hits among 10.  A baseline's results are
-    pages named by files; positions name its questions if it numbers them.
+    pages named by files; positions name its questions if it numbers them.  Where questions share evidences, these are a
+    table (gid, doc, cid) and questions have gid instead of them, so that nothing grows with questions times evidences.
     """
     if kind not in KINDS:
         raise ValueError(f"kind is {kind!r}; known are {', '.join(KINDS)}")
     if baseline:
         run = rank_eval.parse_baseline(results, (".png",) if kind == "web" else (".jpeg", ".jpg"), positions)
         if kind == "web":
-            return rank_eval.page_number_metrics(_golds(questions, lambda e: e["cid"]), run, k)
-        return rank_eval.page_metrics(_golds(questions, lambda e: e["doc"]), run.select("qid", F.col("page").alias("doc"), "rank"))
+            return rank_eval.page_number_metrics(_golds(questions, lambda e: e["cid"], evidences), run, k)
+        return rank_eval.page_metrics(_golds(questions, lambda e: e["doc"], evidences), run.select("qid", F.col("page").alias("doc"), "rank"))
     if kind == "web":
         key = F.concat_ws("/", "doc", "cid")
-        return rank_eval.component_metrics(_golds(questions, lambda e: F.concat_ws("/", e["doc"], e["cid"])), rank_eval.parse_components(results), k, key)
-    return rank_eval.page_metrics(_golds(questions, lambda e: e["doc"]), rank_eval.parse_pages(results))
+        return rank_eval.component_metrics(_golds(questions, lambda e: F.concat_ws("/", e["doc"], e["cid"]), evidences), rank_eval.parse_components(results), k, key)
+    return rank_eval.page_metrics(_golds(questions, lambda e: e["doc"], evidences), rank_eval.parse_pages(results))
 
 
 def answer_accuracy(questions: DataFrame, predictions: DataFrame, kind: str) -> DataFrame:

@@ -289,22 +289,22 @@ def _repeat():
 
 
 def _gold_questions(spark, sf_dir, doc, cid):
+    """Questions and the evidences that those of a label share."""
     g = vectors.load(spark, sf_dir)
-    none = F.lit(None).cast("string")
-    e = F.struct(none.alias("modality"), doc.alias("doc"), cid.alias("cid"), none.cast("double").alias("score"))
-    return g.gold.groupBy("qid").agg(F.collect_list(e).alias("evidences")).select("qid", F.lit("?").alias("question"), F.array(F.lit("x")).alias("answers"), "evidences")
+    asked = g.labels.select("qid", "gid", F.lit("?").alias("question"), F.array(F.lit("x")).alias("answers"))
+    return asked, g.members.select("gid", doc.alias("doc"), cid.alias("cid"))
 
 
 def evaluate_web(spark, sf_dir):
     """Recall and MRR of results against components, ranks in threes."""
-    gold = _gold_questions(spark, sf_dir, F.concat(F.lit("d"), F.expr("node div 4")), F.concat(F.lit("p_"), "node"))
-    return evaluate.retrieval_accuracy(gold, eval_queries._results(spark, sf_dir)[0], "web")
+    gold, evidences = _gold_questions(spark, sf_dir, F.concat(F.lit("d"), F.expr("node div 4")), F.concat(F.lit("p_"), "node"))
+    return evaluate.retrieval_accuracy(gold, eval_queries._results(spark, sf_dir)[0], "web", evidences=evidences)
 
 
 def evaluate_pages(spark, sf_dir):
     """Recall at 3 and MRR at 10 of results against pages."""
-    gold = _gold_questions(spark, sf_dir, F.concat(F.lit("d"), F.expr("node div 4")), F.lit(None).cast("string"))
-    return evaluate.retrieval_accuracy(gold, eval_queries._results(spark, sf_dir)[0], "page")
+    gold, evidences = _gold_questions(spark, sf_dir, F.concat(F.lit("d"), F.expr("node div 4")), F.lit(None).cast("string"))
+    return evaluate.retrieval_accuracy(gold, eval_queries._results(spark, sf_dir)[0], "page", evidences=evidences)
 
 
 def page_answers(spark, sf_dir):

@@ -133,3 +133,25 @@ def test_scores_of_long_texts_read_each_once(spark, monkeypatch):
     calls = []
     kept = T._Kept(lambda token: calls.append(token) or [token])
     assert [kept[w] for w in ["u", "v", "u", "y" * 100, "y" * 100]] and calls == ["u", "v", "y" * 100, "y" * 100]
+
+
+def test_shared_golds_are_those_of_each_question(spark):
+    """Golds of a group, read once, give what arrays of them for each question give: repeats, none and missing questions too."""
+    rng = random.Random(8)
+    groups = {g: [f"doc_{rng.randrange(6)}_{rng.randrange(9)}" if rng.random() < 0.8 else "none" for _ in range(n)] for g, n in enumerate((9, 1, 0, 14))}
+    of = {f"q{k}": k % 4 for k in range(16)}
+    run = spark.createDataFrame([(f"q{k}", f"doc_{rng.randrange(6)}_{rng.randrange(9)}", r) for k in range(1, 20) for r in range(1, 13)], "qid string, page string, rank int")
+    arrays = spark.createDataFrame([(q, groups[g]) for q, g in of.items()], "qid string, golds array<string>")
+    shared = E.SharedGold(spark.createDataFrame(list(of.items()), "qid string, gid int"), spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "gid int, gold string"))
+    numbers = lambda df: [pytest.approx(x) for x in df.first()]
+    docs = run.withColumnRenamed("page", "doc")
+    for one in (lambda g: E.mrr(g, docs), lambda g: E.recall(g, docs), lambda g: E.component_metrics(g, docs, 9, F.col("doc")), lambda g: E.page_number_metrics(g, run, 10), lambda g: E.page_metrics(g, docs)):
+        assert numbers(one(arrays)) == list(one(shared).first())
+
+
+def test_golds_grow_with_vectors_only(spark, data):
+    """No join of questions with all golds of their label."""
+    from graphloom.plans import eval_queries
+
+    plan = eval_queries.page_recall_tolerance(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
