@@ -131,7 +131,7 @@ def test_scores_of_long_texts_read_each_once(spark, monkeypatch):
     assert T._best(["a b c"], [["a b c"], ["x"], None]) == (1.0, 1.0) and T._best(None, [["x"]]) == (0.0, 0.0)
     assert made == ["a b c", "a b c", "x"]
     calls = []
-    kept = T._Kept(lambda token: calls.append(token) or [token])
+    kept = T.Kept(lambda token: calls.append(token) or [token])
     assert [kept[w] for w in ["u", "v", "u", "y" * 100, "y" * 100]] and calls == ["u", "v", "y" * 100, "y" * 100]
 
 

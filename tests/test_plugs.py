@@ -155,3 +155,29 @@ def test_stream(spark, tmp_path):
     got = spark.read.parquet(out + "/sentences")
     want = C.sentences(paragraphs(make(1).unionByName(make(5))))
     assert sorted(r[:] for r in got.select(*want.columns).collect()) == sorted(r[:] for r in want.collect())
+
+
+def test_hashing_encoder_hashes_a_word_once(monkeypatch):
+    """Words are hashed once for all texts, and count as they did word by word."""
+    import hashlib as real
+
+    import numpy as np
+
+    from graphloom.functions import models
+
+    def plainly(words, dim):
+        row = np.zeros(dim)
+        for word in words:
+            h = int(real.md5(word.encode()).hexdigest()[:12], 16)
+            row[h // 2 % dim] += 1 if h % 2 else -1
+        n = np.linalg.norm(row)
+        return row / n if n else row
+
+    texts = [f"Word {k % 7} and word {k % 3}, x{k % 5}" for k in range(1200)] + ["", None]
+    images = [["a/B.png"] if k % 4 == 0 else [] for k in range(1202)]
+    calls = []
+    monkeypatch.setattr(models.hashlib, "md5", lambda b, md5=real.md5: calls.append(b) or md5(b))
+    made = models.HashingEncoder(16).encode_corpus(texts, images)
+    assert len(calls) == len(set(calls)) < 20
+    for row, text, paths in zip(made, texts, images, strict=True):
+        assert row.tolist() == plainly([*(w.strip(",") for w in (text or "").lower().split()), *paths], 16).tolist()
